@@ -7,13 +7,17 @@ import importlib
 #: Query name to the module that has it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op5_quality": "quality",
     "op9_token_files": "token_files",
     "op10_decontaminate": "decontaminate",
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"logloom.llm.{module}"), name) for name, module in MODULES.items()}
+    def of(name: str, module: str):
+        return lambda spark, sf_dir: getattr(importlib.import_module(f"logloom.llm.{module}"), name)(spark, sf_dir)
+
+    return {name: of(name, module) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
