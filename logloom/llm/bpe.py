@@ -16,8 +16,10 @@ Defined cases: null is the empty text; empty text has no ids and decodes to the
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from logloom.llm.common import SPACE, documents, id_and_bytes, per_row, slices, written
 
 #: Largest number of words in the hot table, and of words that a task's own table holds before it starts anew.
-HOT_WORDS, OWN_WORDS = 131_072, 250_000
+HOT_WORDS, OWN_WORDS = 131_072, 300_000
+#: Words of one call of the tokenizer.
+JOINED = 512
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 WORDS = pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32()))])
 
@@ -42,6 +46,7 @@ class Words:
     def __init__(self, path: str, make, hot: dict | None = None, limit: int = OWN_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -57,10 +62,20 @@ class Words:
             if len(self.table) > len(self.hot) + self.limit:
                 self.table = dict(self.hot)
             new = [w for w in {*words} if w not in self.table]
-            texts = [w.decode("utf-8", "replace") for w in new]
-            self.table.update(zip(new, (self.make(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)), strict=True))
+            for at in range(0, len(new), JOINED):
+                some = new[at : at + JOINED]
+                self.table.update(zip(some, map(self.make, self.encode(some)), strict=True))
             return [*map(self.table.__getitem__, words)]
 
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: the words are joined by spaces, encoded in one call and told apart by the ids' offsets."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = found.ids
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.searchsorted([start for start, _ in found.offsets], ends).tolist() if ids else [0] * len(texts)
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
 
 def pieces(path: str) -> list[str]:
     """The vocabulary's piece for every id: the small side of the id-to-piece join."""
