@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module that has it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op3_simhash": "simhash",
     "op5_quality": "quality",
     "op7_licenses": "licenses",
     "op9_token_files": "token_files",
