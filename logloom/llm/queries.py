@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_bpe": "bpe",
     "op3_simhash": "simhash",
+    "op4_secrets": "secrets",
     "op5_quality": "quality",
     "op7_licenses": "licenses",
     "op9_token_files": "token_files",
