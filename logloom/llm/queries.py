@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module that has it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_toxicity": "toxicity",
     "op3_simhash": "simhash",
     "op4_secrets": "secrets",
     "op5_quality": "quality",
