@@ -12,6 +12,7 @@ MODULES = {
     "op4_secrets": "secrets",
     "op5_quality": "quality",
     "op7_licenses": "licenses",
+    "op8_language": "language",
     "op9_token_files": "token_files",
     "op10_decontaminate": "decontaminate",
 }
