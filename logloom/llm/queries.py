@@ -11,6 +11,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op4_secrets": "secrets",
     "op5_quality": "quality",
+    "op6_lm": "interpolated_lm",
     "op7_licenses": "licenses",
     "op8_language": "language",
     "op9_token_files": "token_files",
