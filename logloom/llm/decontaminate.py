@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import WORD_BYTES, documents, id_and_bytes, per_row
+from logloom.llm.common import CHUNK, WORD_BYTES, documents, id_and_bytes, per_row
 
 WINDOW = 10
 #: Items' text (in bytes) per automaton. Benchmarks beyond it are scanned with several automata in turn.
@@ -145,6 +145,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of any item. Narrow: every shard is a filter."""
+    column = docs.columns.index("text")
+    for items in shards(benchmark, limit):
+        sent = docs.sparkSession.sparkContext.broadcast(item_windows(items, size))
+
+        def run(batches, sent=sent):
+            auto = automaton(sent.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(at, CHUNK)
+                    texts = part.column(column).cast(pa.binary()).to_pylist()
+                    yield part.filter(pa.array([not scan(auto, t or b"")[1] for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _scanner(spark: SparkSession, items, size: int):
     sent = spark.sparkContext.broadcast(item_windows(items, size))
 

@@ -59,14 +59,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, and the ratios that the threshold table speaks of."""
+def metrics(docs: DataFrame, carried: str | Column = "doc_id") -> DataFrame:
+    """``carried`` of every row, the base counts, and the ratios that the threshold table speaks of."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    carried = F.col(carried) if isinstance(carried, str) else carried
+    split = docs.select(carried, text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n_words, words = F.size("words"), F.col("words")
     per_word = lambda x: x / F.greatest(n_words, F.lit(1))
     return split.select(
-        "doc_id",
+        split.columns[0],
         n_words.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -97,9 +98,19 @@ def verdict(rules=RULES) -> Column:
     return out
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def passing(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that neither the base nor a rule rejects."""
+    judged = metrics(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row"))
+    return judged.where(~base_failed() & verdict(rules)).select("kept_row.*")
+
+
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """Per row of ``docs``: the base counts, base_failed and kept."""
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = base_failed()
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return metrics(docs).select(*counts, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
 

@@ -20,6 +20,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,5 +122,32 @@ def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None =
         F.size(F.filter("spans", lambda s: s["copied"])).alias("n_copied"), F.size(F.filter("spans", lambda s: s["specific"])).alias("n_specific"), "row")
 
 
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with all their columns; every span of ``secrets`` (overlapping ones united) is replaced by ``mark``.
+
+    n_chars, where it is a column, follows the text. A null text stays null.
+    """
+    found = secrets(docs).where("spans <> ''").select(F.col("row").alias("cut_row_key"), F.col("spans").alias("cut_spans")).distinct()
+    keyed = docs.withColumn("cut_row_key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s, mark) if s else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    joined = keyed.join(found, "cut_row_key", "left").withColumn("text", F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(text: str, spans: str, mark: str) -> str:
+    out, at, covered = [], 0, -1
+    for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",")):
+        if a >= covered:
+            out += [text[at:a], mark]
+        at = covered = max(covered, b)
+    return "".join([*out, text[at:]])
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir)).drop("row")

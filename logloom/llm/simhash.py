@@ -38,7 +38,7 @@ from logloom.llm.components import components
 SHINGLE, SEED, LIMIT, BITS, GROUP = 4, 42, 4, 64, 4
 #: Cost of a probe (a shuffled row, about 2 microseconds as measured) in candidates checked within a bucket.
 PROBE_COST = 25.0
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("print", pa.int64())])
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -56,8 +56,13 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    one = lambda doc_id, raw: (doc_id, fingerprint(raw, size))
-    return id_and_bytes(docs).mapInArrow(per_row(one, ("doc_id", "text"), PRINTS), "doc_id long, print long")
+    """doc_id, a key of the row's id and text, and the fingerprint."""
+    one = lambda doc_id, raw, row: (doc_id, row, fingerprint(raw, size))
+    return id_and_bytes(docs, row_key()).mapInArrow(per_row(one, ("doc_id", "text", "row"), PRINTS), "doc_id long, row long, print long")
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("row")
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -193,13 +198,21 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def classes(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, print, and the smallest doc_id of its component."""
+    """Per row of ``docs``: doc_id, row, print, root, and the smallest doc_id of its component."""
     prints = written(fingerprints(docs, size), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     roots = nodes.join(links(nodes.select("print"), limit).withColumnRenamed("node", "print"), "print", "left")
     roots = written(roots.select("print", "first", F.coalesce("root", "print").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(roots.join(least, "root").select("print", "component_id"), "print")
+    return prints.join(roots.join(least, "root").select("print", "root", "component_id"), "print")
+
+
+def representatives(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: the smallest doc_id (a null only where there is no other), then the smallest row key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = classes(docs, limit, size).groupBy("root").agg(first).select(F.col("first.row").alias("kept_row_key")).distinct()
+    keyed = docs.withColumn("kept_row_key", row_key())
+    return keyed.join(kept, "kept_row_key", "left_semi").dropDuplicates(["kept_row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
