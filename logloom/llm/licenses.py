@@ -7,7 +7,7 @@ lie within ``GAP`` words of each other and follow one another are merged, so tha
 span; a span is a match when at least ``LEAST`` of the template's grams are covered.
 
 The join compares the words themselves as well as the hash, so spans are verified word by word and a hash collision has no effect.
-Only the few voting rows are shuffled; documents never are. A place is one row of its document, so a document with a phrase a
+Only the few voting rows are shuffled and kept as a table; documents never are. A place is one row of its document, so a document with a phrase a
 million times makes groups of a few votes each.
 
 Defined cases: null and empty texts have no words, no places, null positions, empty labels and score 0; repeated rows repeat their
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.llm.common import documents
+from logloom.llm.common import documents, written
 
 #: Phrases of the base and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -95,6 +95,7 @@ def spans(docs: DataFrame, table: DataFrame) -> DataFrame:
     by = ["doc_id", "key", "template", "label", "kind", "grams", "k"]
     lines = votes(docs, table).withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*by, "diagonal").agg(
         F.countDistinct("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    lines = written(lines, "votes")  # a few rows: read twice below, made once
     exact = lines.where("kind <> 'notice' and votes = grams").select(*by[:5], F.col("diagonal").alias("first"), (F.col("high") + F.col("k")).alias("last"), F.lit(1.0).alias("share"))
     order = Window.partitionBy(*by).orderBy("low", "diagonal")
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > GAP) | (F.col("low") - F.lag("high").over(order) > GAP + F.col("k"))
