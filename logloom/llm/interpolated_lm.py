@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from logloom.llm.bpe import hot_threshold
 from logloom.llm.common import LOWER, documents, fold, id_and_bytes, slices, written
 
-CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 1_000_000, 3_000_000, 64
-KEPT_WORDS, EM_STEPS, BINS = 300_000, 60, 4
+CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 500_000, 3_000_000, 64
+KEPT_WORDS, EM_STEPS, BINS = 200_000, 60, 4
 #: Bucket of the contexts that are not in the table, and of a text's beginning.
 RARE_BUCKET, BEGIN_BUCKET = 62, 63
 ROWS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
