@@ -30,7 +30,7 @@ from logloom.llm.common import documents, fold, id_and_bytes, rows_to_batch, sli
 DOCS, STEPS = 1_500, 3
 #: Probability of a character that is no piece, and weight of the uniform distribution mixed into every language.
 UNKNOWN, FLOOR = 1e-7, 1e-3
-KEPT_WORDS, LONG, MARK = 200_000, 40, "▁"
+KEPT_WORDS, LONG, MARK = 400_000, 40, "▁"
 WORD = re.compile(r"[^\W\d_]+")
 ROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -52,22 +52,24 @@ class Lattice:
         usable = sorted({p for p in names if WORD.fullmatch(p.removeprefix(MARK)) and p == p.lower() or p == MARK})
         self.pieces = {p: i for i, p in enumerate(usable)}
         self.size = len(self.pieces) + 1  # the last stands for any other character
-        self.prefixes = {p[:n] for p in usable for n in range(1, len(p) + 1)}
-
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, start, piece) of every piece in the marked word."""
-        s, out, pieces, prefixes = MARK + word, [], self.pieces, self.prefixes
-        n = len(s)
+        #: Every beginning of a piece: its piece if it is one itself, else -1.
+        self.starts = {p[:n]: -1 for p in usable for n in range(1, len(p) + 1)} | self.pieces
+        if max(map(len, usable)) >= 1 << 5 or self.size >= 1 << 16:
+            raise ValueError("pieces are too long or too many for packed edges")
+
+    def edges(self, word: str, number: int, out: list[int]) -> None:
+        """Adds every piece in the marked word to ``out``, packed as end (24 bits), word (13), length (5) and piece (16)."""
+        s, starts = MARK + word, self.starts
+        n, low = len(s), number << 21
         for i in range(n):
-            if s[i] not in pieces:
-                out.append((i + 1, i, self.size - 1))
+            if starts.get(s[i], -1) < 0:
+                out.append((i + 1) << 34 | low | 1 << 16 | self.size - 1)
             for j in range(i + 1, n + 1):
-                part = s[i:j]
-                if part not in prefixes:
+                piece = starts.get(s[i:j])
+                if piece is None:
                     break
-                if part in pieces:
-                    out.append((j, i, pieces[part]))
-        return out
+                if piece >= 0:
+                    out.append(j << 34 | low | (j - i) << 16 | piece)
 
     def batches(self, words: list[str]):
         """Words of like length together: (their places, longest, edge arrays sorted by end and word)."""
@@ -78,9 +80,12 @@ class Lattice:
             while end < len(order) and end - at < 4096 and (end - at) * (len(words[order[end]]) + 2) < 200_000:
                 end += 1
             places = order[at:end]
-            rows = [(j, w, i, p) for w, k in enumerate(places) for j, i, p in self.edges(words[k])]
-            j, w, i, p = np.array(sorted(rows), np.int64).reshape(-1, 4).T
-            yield places, len(words[places[-1]]) + 1, j, w, i, p
+            packed: list[int] = []
+            for w, k in enumerate(places):
+                self.edges(words[k], w, packed)
+            rows = np.sort(np.array(packed, np.int64))
+            j = rows >> 34
+            yield places, len(words[places[-1]]) + 1, j, rows >> 21 & 0x1FFF, j - (rows >> 16 & 0x1F), rows & 0xFFFF
             at = end
 
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
@@ -94,23 +99,26 @@ class Lattice:
         return out
 
     @staticmethod
-    def _alpha(n: int, edges, probs: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def _alpha(n: int, edges, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward sums (n, length + 1, languages) and their logarithmic scale; each place is scaled to a maximum of 1."""
         j, w, i, p = edges
         longest = int(j.max())
         alpha, shift = np.zeros((n, longest + 1, probs.shape[1])), np.zeros((n, longest + 1, probs.shape[1]))
         alpha[:, 0] = 1
         cuts = np.searchsorted(j, np.arange(longest + 2))
+        terms = probs[p]
         for end in range(1, longest + 1):
             a, b = cuts[end], cuts[end + 1]
             if a == b:
                 continue
             ww, ii = w[a:b], i[a:b]
             first = np.flatnonzero(np.append(True, ww[1:] != ww[:-1]))
+            if longest <= LONG:  # too short to underflow
+                alpha[ww[first], end] = np.add.reduceat(alpha[ww, ii] * terms[a:b], first)
+                continue
             top = np.maximum.reduceat(shift[ww, ii], first)
             size = np.diff(np.append(first, b - a))
-            terms = alpha[ww, ii] * np.exp(shift[ww, ii] - np.repeat(top, size, 0)) * probs[p[a:b]]
-            total = np.add.reduceat(terms, first)
+            total = np.add.reduceat(alpha[ww, ii] * np.exp(shift[ww, ii] - np.repeat(top, size, 0)) * terms[a:b], first)
             who = ww[first]
             scale = np.where(total > 0, total, 1)
             alpha[who, end], shift[who, end] = total / scale, top + np.log(scale)
