@@ -124,7 +124,8 @@ def all_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
         inner = F.transform(F.sequence(F.lit(1), F.greatest(holes_here, F.lit(1))), captured(token, part))
         taken = F.when(here & (kind == 2), F.array(span)).when(here & (kind == 1), inner).otherwise(none)
         step = F.when(~here, F.array().cast("array<int>")).otherwise(F.array(F.when(kind == 0, 0).when(kind == 1, 1).otherwise(1 + F.col("len")).cast("int")))
-        state = state.withColumns({"values": F.concat("values", taken), "step_key": F.concat("step_key", step), "pos": F.col("pos") + F.col("len")}).drop("len")
+        # The position moves in a step of its own: within one projection a lambda would see the new one.
+        state = state.withColumns({"values": F.concat("values", taken), "step_key": F.concat("step_key", step)}).withColumn("pos", F.col("pos") + F.col("len")).drop("len")
     done = state if options.allow_trailing else state.where("pos = n")
     order = F.struct((-F.col("static_token_count")).alias("a"), (-F.col("confidence")).alias("b"), F.col("step_key").alias("c"), F.col("ins_idx").alias("d"))
     ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy("line_number").orderBy(order)))

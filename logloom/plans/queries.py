@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from logloom.plans import log_queries
+from logloom.plans import java_queries, log_queries
 
 
 def queries() -> dict:
-    return dict(log_queries.Q)
+    return log_queries.Q | java_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(log_queries.SQL)
+    return log_queries.SQL | java_queries.SQL

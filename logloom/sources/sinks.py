@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -28,8 +29,8 @@ def three_decimals(value: Column) -> Column:
     """``%.3f`` with ties to even of the exact binary value, as C and Python print it."""
 
     @pandas_udf("string")
-    def text(x):
-        return x.map(lambda v: f"{v:.3f}", na_action="ignore")
+    def text(x: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.3f}" for v in x], dtype=object)
 
     return text(value)
 
