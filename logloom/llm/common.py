@@ -54,11 +54,11 @@ def fold(modulus: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list, ...]]:
-    """Python lists of at most CHUNK rows, so that one batch of long texts is never held twice as a whole."""
+def slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int = CHUNK) -> Iterator[tuple[list, ...]]:
+    """Python lists of at most ``size`` rows, so that one batch of long texts is never held twice as a whole."""
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
             yield tuple(part.column(c).to_pylist() for c in columns)
 
 

@@ -16,7 +16,9 @@ a null doc_id comes first.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import Words, tokenizer_path
+from logloom.llm.bpe import FEW, Words, tokenizer_path
 from logloom.llm.common import documents, id_and_bytes, rows_to_batch, slices, written
 
 SEGMENT_IDS = 1 << 20
+#: Words that a task's table holds before it starts anew; an entry is a few bytes here.
+KEPT_WORDS = 600_000
 #: Documents in one range of doc_ids, which one task puts in order.
 RANGE_DOCS = 2_000
 END_ID = 2
@@ -111,11 +115,15 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
     encoded = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary())])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(path, lambda x: np.array(x, kind).tobytes())
+        code = "H" if kind == "<u2" else "I"
+        little = sys.byteorder == "little"
+        table = Words(path, lambda x: array(code, x).tobytes() if little else np.array(x, kind).tobytes(), bytes.__add__, limit=KEPT_WORDS)
         end = np.array([end_id], kind).tobytes()
-        for doc_ids, texts in slices(batches, ("doc_id", "text")):
+        for doc_ids, texts in slices(batches, ("doc_id", "text"), FEW):
+            lists = [t.split() for t in texts]
+            get = table.ready(lists)
             parts = np.searchsorted(bounds.value, [-(1 << 63) if d is None else d for d in doc_ids], side="right").tolist()
-            yield rows_to_batch([(p, d, zlib.crc32(t), b"".join(table(t.split())) + end) for p, d, t in zip(parts, doc_ids, texts, strict=True)], encoded)
+            yield rows_to_batch([(p, d, zlib.crc32(t), b"".join(map(get, words)) + end) for p, d, t, words in zip(parts, doc_ids, texts, lists, strict=True)], encoded)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = None, 0, [], 0

@@ -43,7 +43,7 @@ def test_encode_and_decode_round_trip(spark, plain):
 def test_words_are_independent(text):
     t = Tokenizer.from_file(bpe.tokenizer_path()) if not hasattr(test_words_are_independent, "t") else test_words_are_independent.t
     test_words_are_independent.t = t
-    words = getattr(test_words_are_independent, "w", None) or bpe.Words(bpe.tokenizer_path(), list)
+    words = getattr(test_words_are_independent, "w", None) or bpe.Words(bpe.tokenizer_path(), list, list.__add__)
     test_words_are_independent.w = words
     raw = text.encode("utf-8", "replace")
     assert [i for x in words(raw.split()) for i in x] == t.encode(raw.decode(), add_special_tokens=False).ids
@@ -79,3 +79,9 @@ def test_token_files(spark, plain, each):
         at += len(ids)
     got = token_files.read_ids(token_files.write_ids(docs, each=each)).collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abcXYZ'st.,!?;:*#$%&|<>0é \u0301\u0331\x1c\x85", max_size=30))
+def test_parted_words(text):
+    test_words_are_independent.hypothesis.inner_test(text)
