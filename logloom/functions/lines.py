@@ -20,6 +20,7 @@ FORMATS: tuple[tuple[str, tuple[str, ...]], ...] = (
 FIELDS = ("timestamp", "level", "thread", "logger", "message")
 #: Unicode classes, and only \n ends a line.
 FLAGS = "(?Ud)"
+MARK = "\u0001"
 
 
 def parse_line(line: Column | str) -> Column:
@@ -44,8 +45,31 @@ def header_split(line: Column | str) -> Column:
 
 
 def parsed(lines, column: str = "value"):
-    """The rows of ``lines`` with the five fields as columns."""
-    return lines.withColumn("_parsed", parse_line(column)).select("*", "_parsed.*").drop("_parsed")
+    """The rows of ``lines`` with the five fields as columns; the same as ``parse_line`` with fewer regular expressions a row.
+
+    The format is found first, then one replacement with that format's regex writes the groups between marks (U+0001) and one split
+    gives them. Lines that hold the mark themselves take the groups one by one.
+    """
+    found = lines.withColumn("_text", strip(column)).withColumn("_which", which_of("_text"))
+    groups = F.when(F.col("_which") == -1, F.lit(None).cast("array<string>"))
+    for k, (pattern, names) in enumerate(FORMATS):
+        place = lambda f, g=names: f"${g.index(f) + 1}" if f in g else ""
+        joined = F.regexp_replace("_text", FLAGS + pattern, MARK.join(map(place, FIELDS)))
+        single = F.array(*[F.regexp_extract("_text", FLAGS + pattern, names.index(f) + 1) if f in names else F.lit("") for f in FIELDS])
+        groups = groups.when(F.col("_which") == k, F.when(F.contains("_text", F.lit(MARK)), single).otherwise(F.split(joined, MARK)))
+    whole = F.array(*[F.col("_text") if f == "message" else F.lit("") for f in FIELDS])
+    found = found.withColumn("_groups", groups.otherwise(whole))
+    # One struct in an array, expanded: a filter on a field is not pushed below it, where it would parse every line again.
+    fields = F.struct(*[F.nullif(F.col("_groups")[k], F.lit("")).alias(f) for k, f in enumerate(FIELDS)])
+    return found.select(*lines.columns, F.inline(F.array(fields)))
+
+
+def which_of(column: str) -> Column:
+    """Number of the first format that fits; -1 for a blank line, null for none."""
+    out = F.when(F.coalesce(F.col(column), F.lit("")) == "", -1)
+    for k, (pattern, _) in enumerate(FORMATS):
+        out = out.when(F.col(column).rlike(FLAGS + pattern), k)
+    return out
 
 
 def event_time(timestamp: Column | str) -> Column:

@@ -56,19 +56,10 @@ def captures(most: int) -> Column:
     return F.slice(got, F.lit(1), F.coalesce("holes", F.lit(0))) if most else got
 
 
-def step_key(values: Column) -> Column:
+def step_key(values: str) -> Column:
     """Order of derivations: 0 for a static token, 1 for a hole within a token, 1 + length for a hole."""
-    words = F.transform(values, lambda v: F.size(F.split(v, " ")))
-    state = F.struct(F.array().cast("array<int>").alias("key"), F.lit(0).alias("hole"))
-
-    def add(a, x):
-        kind, parts = x["kind"], x["parts"]
-        step = F.when(kind == 0, 0).when(kind == 1, 1).otherwise(1 + F.get(words, a["hole"]))
-        return F.struct(F.concat(a["key"], F.array(step.cast("int"))).alias("key"), (a["hole"] + parts).alias("hole"))
-
-    parts = lambda t, k: F.when(k == 0, 0).when(k == 2, 1).otherwise(F.size(F.split(t, r"<\*>", -1)) - 1)
-    shape = F.zip_with("t_tokens", "kinds", lambda t, k: F.struct(k.alias("kind"), parts(t, k).alias("parts")))
-    return F.aggregate(shape, state, add, lambda a: a["key"])
+    width = lambda h: F.size(F.split(F.get(F.col(values), h), " "))
+    return F.zip_with("kinds", "hole_at", lambda k, h: F.when(k == 2, 1 + width(h)).otherwise(k))
 
 
 def most_holes(built: DataFrame) -> int:
@@ -91,7 +82,7 @@ def best_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
     own = lines.columns
     found = scored(candidates(prepared(lines), side, keep, use_level)).withColumn("values", captures(most_holes(built)))
     rank = F.struct(
-        (-F.col("static_token_count")).alias("a"), (-F.col("confidence")).alias("b"), step_key(F.col("values")).alias("c"), F.col("ins_idx").alias("d"),
+        (-F.col("static_token_count")).alias("a"), (-F.col("confidence")).alias("b"), step_key("values").alias("c"), F.col("ins_idx").alias("d"),
         F.struct("template_id", "confidence", "pattern", "static_token_count", F.col("t_level").alias("template_level"), "values", "location", "branch_variant").alias("match"),
     )
     good = F.col("template_id").isNotNull() & (F.col("confidence") >= threshold)

@@ -27,6 +27,9 @@ def build(templates: DataFrame, options: Options = Options()) -> DataFrame:
     piece = lambda t: F.when(kind(t) == 2, HOLE).when(kind(t) == 1, inside(t)).otherwise(escaped(t))
     found = with_order(templates).withColumn("tokens", tokens("pattern")).withColumn("p", F.size("tokens")).withColumn("kinds", F.transform("tokens", kind))
     holes = F.aggregate("tokens", F.lit(0), lambda a, t: a + F.when(kind(t) == 0, 0).when(kind(t) == 2, 1).otherwise(F.size(F.split(t, r"<\*>", -1)) - 1))
+    # Holes before each token.
+    count = lambda a, t: a + F.when(kind(t) == 0, 0).when(kind(t) == 2, 1).otherwise(F.size(F.split(t, r"<\*>", -1)) - 1)
+    before = F.transform("tokens", lambda t, i: F.aggregate(F.slice(F.col("tokens"), F.lit(1), i), F.lit(0), count))
     tail = "(?: .*)?$" if options.allow_trailing else "$"
     regex = F.concat(F.lit("(?s)^"), F.array_join(F.transform("tokens", piece), " "), F.lit(tail))
     first, last = F.get("tokens", F.lit(0)), F.element_at("tokens", -1)
@@ -34,14 +37,14 @@ def build(templates: DataFrame, options: Options = Options()) -> DataFrame:
     key = F.when(static(0) & (F.col("p") > 1) & static(1), F.concat(F.lit("2 "), first, F.lit(" "), F.get("tokens", F.lit(1)))).when(static(0), F.concat(F.lit("1 "), first))
     if not options.allow_trailing:
         key = key.when(F.element_at("kinds", -1) == 0, F.concat(F.lit("L "), last))
-    return found.where("p > 0").withColumn("holes", holes).withColumn("regex", regex).withColumn("token_regexes", F.transform("tokens", lambda t: F.concat(F.lit("^"), inside(t), F.lit("$")))).withColumn("key", key.otherwise("*"))
+    return found.where("p > 0").withColumn("holes", holes).withColumn("hole_at", before).withColumn("regex", regex).withColumn("token_regexes", F.transform("tokens", lambda t: F.concat(F.lit("^"), inside(t), F.lit("$")))).withColumn("key", key.otherwise("*"))
 
 
 def patterns(built: DataFrame) -> DataFrame:
     """One row for each different pattern, stored count and level: the first inserted stands for its equals in best matching."""
     first = F.min_by(F.struct("template_id", "location", "branch_variant", "ins_idx"), "ins_idx").alias("first")
     same = ["pattern", "static_token_count", "level", "p", "holes", "regex", "key"]
-    return built.groupBy(*same).agg(first, F.first("kinds").alias("kinds"), F.first("tokens").alias("t_tokens")).select(*same, "kinds", "t_tokens", "first.*")
+    return built.groupBy(*same).agg(first, F.first("kinds").alias("kinds"), F.first("hole_at").alias("hole_at")).select(*same, "kinds", "hole_at", "first.*")
 
 
 def edges(built: DataFrame) -> DataFrame:
