@@ -20,22 +20,21 @@ import os
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import SPACE, documents, id_and_bytes, per_row, rows_to_batch, slices, written
+from logloom.llm.common import SPACE, documents, id_and_bytes, per_row, slices, written
 
 #: Largest number of words in the hot table, and of words that a task's own table holds before it starts anew.
-HOT_WORDS, OWN_WORDS = 131_072, 300_000
-#: Documents whose words are held at a time.
-FEW = 32
-#: Words of one call of the tokenizer.
-JOINED = 512
-#: Words that fall into letters and a tail of marks.
-PARTED = re.compile(rb"([A-Za-z]+)([.,!?;:*#$%&|]*)")
-PROBES = (b"hello", b"World", b"internationalization,", b"x!!", b"QUICK.?", b"zzqxj***", b"a|", b"It%%%", b"s&&&", b"T:;")
+HOT_WORDS, OWN_WORDS = 65_536, 150_000
+#: The parts into which the tokenizer cuts words of ASCII marks, digits and letters and of Latin-1 letters.
+PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
+#: The characters by which byte-level vocabularies write bytes: printable Latin-1 ones as they are, the others from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+PROBES = ("hello", "World", "internationalization,", "x!!", "QUICK.?", "it's", "I'LL", "''s", "a1b22c", "École", "Straße-ñandú", "ÀÖØÞßÿ", "a|<b>", "#$%&*", "don't!?", "0x9f", "zzqxj***")
+PROBES = tuple(w.encode() for w in PROBES)
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 WORDS = pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32()))])
 
@@ -46,75 +45,59 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Words:
-    """A task's table of distinct words: ids of words never met before come from the tokenizer.
+class Words(dict):
+    """A task's table of distinct words to entries (``make`` of a word's ids); a word that it lacks is encoded when it is looked up.
 
-    Most new words are ASCII letters with a tail of marks, which the tokenizer always parts. Their letters (in lower case) and their
-    tail go to its model once each, and their entries are put together by ``join``; all other words are encoded as they are. Where a
-    tokenizer's results for ``PROBES`` show that it does not work so, every word is encoded as it is.
+    The tokenizer parts most words by a simple rule: ASCII and Latin-1 letters in lower case, single digits, runs of marks and a few
+    endings. Each such part goes to the tokenizer's model once, and the parts' entries are put together by ``join``. All other words
+    are encoded as they are, and so is every word if the rule fails on ``PROBES`` for the given tokenizer.
     """
 
     def __init__(self, path: str, make, join, hot: dict | None = None, limit: int = OWN_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__(hot or {})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.make, self.join, self.limit = make, join, limit
-        self.hot = hot or {}
-        self.table, self.parts = dict(self.hot), {}
-        self.parted = all(
-            [i for part in (m[1].lower(), m[2]) if part for i in self.ids_of(part)] == self.tokenizer.encode(m[0].decode(), add_special_tokens=False).ids
-            for m in map(PARTED.fullmatch, PROBES)
-        )
+        self.make, self.join, self.hot, self.most = make, join, hot or {}, limit + len(hot or {})
+        self.parts: dict[bytes, object] = {}
+        self.simple = all([i for p in PARTS.findall(w.decode().lower().encode()) for i in self.ids_of(p)] == self.whole(w) for w in PROBES)
+
+    def __missing__(self, word: bytes):
+        low = word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
+        parts = PARTS.findall(low) if self.simple and b"<|" not in word else ()
+        if sum(map(len, parts)) == len(low):
+            entry = None
+            for part in parts:
+                found = self.parts.get(part)
+                if found is None:
+                    found = self.parts[part] = self.make(self.ids_of(part))
+                entry = found if entry is None else self.join(entry, found)
+        else:  # some character is none that the rule knows
+            entry = self.make(self.whole(word))
+        self[word] = entry
+        return entry
 
     def __call__(self, words: list[bytes]) -> list:
-        """The table's entries for ``words``, in order."""
-        return [*map(self.ready([words]), words)]
-
-    def ready(self, lists: list[list[bytes]]):
-        """Learns all words of ``lists`` and returns the table's look-up."""
-        if len(self.table) > len(self.hot) + self.limit:
-            self.table, self.parts = dict(self.hot), {}
-        found: set[bytes] = set()
-        found.update(*lists)
-        self.learn(found.difference(self.table))
-        return self.table.__getitem__
-
-    def learn(self, new: set[bytes]) -> None:
-        table, parts, whole = self.table, self.parts, []
-        for w in new:
-            m = PARTED.fullmatch(w) if self.parted else None
-            if not m:
-                whole.append(w)
-                continue
-            letters, tail = m[1].lower(), m[2]
-            entry = parts.get(letters)
-            if entry is None:
-                entry = parts[letters] = self.make(self.ids_of(letters))
-            if tail:
-                end = parts.get(tail)
-                if end is None:
-                    end = parts[tail] = self.make(self.ids_of(tail))
-                entry = self.join(entry, end)
-            table[w] = entry
-        for at in range(0, len(whole), JOINED):
-            some = whole[at : at + JOINED]
-            table.update(zip(some, map(self.make, self.encode(some)), strict=True))
+        """The entries for ``words``, in order. A table that has grown too large starts anew first."""
+        return [*map(self.lookup(), words)]
+
+    def lookup(self):
+        if len(self) > self.most:
+            self.clear()
+            self.parts.clear()
+            self.update(self.hot)
+        return self.__getitem__
 
     def ids_of(self, part: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.decode())]
+        text = part.decode() if part.isascii() else part.decode("latin-1").translate(BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(text)]
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word: the words are joined by spaces, encoded in one call and told apart by the ids' offsets."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = found.ids
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        cuts = np.searchsorted([start for start, _ in found.offsets], ends).tolist() if ids else [0] * len(texts)
-        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+    def whole(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
 
 
 def pieces(path: str) -> list[str]:
@@ -204,16 +187,13 @@ def digests(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS
 
         table = Words(path, entry, join, {w: entry(ids) for w, ids in hot.value})
 
-        for doc_ids, raws in slices(batches, ("doc_id", "text"), FEW):
-            lists = [raw.split() for raw in raws]
-            get = table.ready(lists)
-            rows = []
-            for doc_id, words in zip(doc_ids, lists, strict=True):
-                found = [x for x in map(get, words) if x[0]]
-                ids = b" ".join([x[0] for x in found])
-                decoded = hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest()
-                rows.append((doc_id, ids.count(b" ") + 1 if found else 0, hashlib.sha256(ids).hexdigest(), decoded))
-            yield rows_to_batch(rows, DIGEST)
+        def one(doc_id, raw):
+            found = [x for x in map(table.lookup(), raw.split()) if x[0]]
+            ids = b" ".join([x[0] for x in found])
+            decoded = hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest()
+            return doc_id, ids.count(b" ") + 1 if found else 0, hashlib.sha256(ids).hexdigest(), decoded
+
+        yield from per_row(one, ("doc_id", "text"), DIGEST)(batches)
 
     return id_and_bytes(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import FEW, Words, tokenizer_path
+from logloom.llm.bpe import Words, tokenizer_path
 from logloom.llm.common import documents, id_and_bytes, rows_to_batch, slices, written
 
 SEGMENT_IDS = 1 << 20
@@ -42,12 +42,13 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 def pack(ids: np.ndarray) -> bytes:
     """Levels of chunks, each with its bitmap and rank directory."""
-    left = ids.astype(np.uint32)
+    left = ids
     out = []
     while True:
         more = left > 0xFF
         bits = np.packbits(more, bitorder="little")
-        ones = np.concatenate(([0], np.cumsum(more, dtype=np.uint32)))[: len(left) : RANK].astype("<u4") if len(left) else np.zeros(0, "<u4")
+        each = np.add.reduceat(more, np.arange(0, len(left), RANK), dtype=np.int64) if len(left) else np.zeros(0, np.int64)
+        ones = (np.cumsum(each) - each).astype("<u4")
         out.append(struct.pack("<III", len(left), len(bits), len(ones)) + (left & 0xFF).astype(np.uint8).tobytes() + bits.tobytes() + ones.tobytes())
         left = left[more] >> 8
         if not len(left):
@@ -84,11 +85,12 @@ class Segment:
         return value
 
     def all(self) -> np.ndarray:
-        out = np.zeros(len(self), "<u4")
-        where = np.arange(len(self))
+        out, where = self.levels[0][0].astype("<u4"), None
         for level, (chunks, bits, _) in enumerate(self.levels):
-            out[where] |= chunks.astype(np.uint32) << (8 * level)
-            where = where[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
+            if level:
+                out[where] |= chunks.astype(np.uint32) << (8 * level)
+            more = np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))
+            where = where[more] if level else more
         return out
 
 
@@ -119,11 +121,9 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
         little = sys.byteorder == "little"
         table = Words(path, lambda x: array(code, x).tobytes() if little else np.array(x, kind).tobytes(), bytes.__add__, limit=KEPT_WORDS)
         end = np.array([end_id], kind).tobytes()
-        for doc_ids, texts in slices(batches, ("doc_id", "text"), FEW):
-            lists = [t.split() for t in texts]
-            get = table.ready(lists)
+        for doc_ids, texts in slices(batches, ("doc_id", "text")):
             parts = np.searchsorted(bounds.value, [-(1 << 63) if d is None else d for d in doc_ids], side="right").tolist()
-            yield rows_to_batch([(p, d, zlib.crc32(t), b"".join(map(get, words)) + end) for p, d, t, words in zip(parts, doc_ids, texts, lists, strict=True)], encoded)
+            yield rows_to_batch([(p, d, zlib.crc32(t), b"".join(map(table.lookup(), t.split())) + end) for p, d, t in zip(parts, doc_ids, texts, strict=True)], encoded)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = None, 0, [], 0
