@@ -27,4 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from logloom.llm import sql
+
+    return dict(sql.ORACLES)
