@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import WORD_BYTES, documents, fold, id_and_bytes, per_row, rows_to_batch, slices, written
 
-PER_CLASS, FEATURES, LEAST_DOCS, LEAST_CHI2 = 10_000, 4_096, 3, 12.0
+PER_CLASS, FEATURES, LEAST_DOCS, LEAST_CHI2 = 6_000, 4_096, 3, 12.0
 PREFIXES = (4, 5, 6)
 L2, SWAP, STEPS, RATE, CUT = 2e-4, 1.0, 400, 0.1, 0.3
 #: Words whose features a task remembers before it starts anew.
@@ -87,11 +87,9 @@ def swaps() -> list[tuple[bytes, list[bytes]]]:
     return [(a.encode(), [b.encode() for b in line if b != a]) for line in IDENTITY for a in line]
 
 
-def fit(y: np.ndarray, weight: np.ndarray, rows: list[np.ndarray], n_features: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
-    """Intercept and weights. ``pairs``: columns that a swap removes and adds, one pair for each swapped sentence."""
+def fit(y: np.ndarray, weight: np.ndarray, at: np.ndarray, col: np.ndarray, n_features: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """Intercept and weights. ``at``, ``col``: row and column of each feature; ``pairs``: columns that a swap removes and adds, one pair for each swap."""
     weight = weight / weight.sum()
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     theta = np.zeros(n_features + 1)
     rate = float(np.clip(weight @ y, 1e-6, 1 - 1e-6))
     theta[-1] = math.log(rate / (1 - rate))
@@ -100,7 +98,7 @@ def fit(y: np.ndarray, weight: np.ndarray, rows: list[np.ndarray], n_features: i
     sign = np.concatenate([np.concatenate((-np.ones(len(a)), np.ones(len(b)))) for a, b in pairs]) if pairs else np.zeros(0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        logit = theta[-1] + np.bincount(at, theta[col], minlength=len(rows))
+        logit = theta[-1] + np.bincount(at, theta[col], minlength=len(y))
         err = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
         grad = np.append(np.bincount(col, err[at], minlength=n_features), err.sum())
         grad[:-1] += L2 * theta[:-1]
@@ -116,26 +114,33 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """Intercept, and weight by feature."""
     rows = training_rows(docs, sample(labels, per_class))
     chosen = select_features(rows)
-    names = {f: a for a, _ in swaps() for f in features(a)[:1]}
-    wanted = [*chosen, *(f for a, _ in swaps() for f in features(a) if f not in set(chosen))]
-    column = {f: i for i, f in enumerate(dict.fromkeys(wanted))}
-    # The model's features only: a few numbers for each of at most 2 * per_class rows.
-    kept = rows.select("toxic", "weight", F.array_intersect("features", F.array(*[F.lit(f) for f in column])).alias("features")) if len(column) < 64 else narrowed(rows, list(column))
-    found = kept.collect()
-    y, weight = np.array([r.toxic for r in found], float), np.array([r.weight for r in found], float)
+    wanted = dict.fromkeys([*chosen, *(f for a, _ in swaps() for f in features(a))])
+    # The model's features only: a few numbers for each of at most 2 * per_class rows, as Arrow columns.
+    found = narrowed(rows, list(wanted)).toArrow()
+    y, weight = found["toxic"].to_numpy().astype(float), found["weight"].to_numpy()
     if not len(y) or y.min() == y.max():
         return (40.0 if len(y) and y[0] else -40.0), {}
-    has = [set(r.features) for r in found]
-    index = [np.array(sorted(column[f] for f in x), np.int64) for x in has]
+    lists = found["features"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    names = np.array(sorted(wanted), np.int64)
+    sizes = np.diff(lists.offsets.to_numpy())
+    cols = np.searchsorted(names, lists.flatten().to_numpy())
+    column = {int(f): i for i, f in enumerate(names)}
+    b, theta = fit(y, weight, np.repeat(np.arange(len(y)), sizes), cols, len(names), swapped(column, cols, np.cumsum(sizes)))
+    return b, {int(f): float(t) for f, t in zip(names, theta, strict=True) if t}
+
+
+def swapped(column: dict[int, int], cols: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns that each swap removes and adds, for every sentence that names a group."""
     pairs = []
-    for x in has:
-        for a, others in swaps():
-            if features(a)[0] in x and features(a)[0] in names:
-                for b in others:
-                    fa, fb = set(features(a)), set(features(b))
-                    pairs.append((np.array([column[f] for f in sorted(fa - fb)], np.int64), np.array([column[f] for f in sorted(fb - fa) if f not in x], np.int64)))
-    b, theta = fit(y, weight, index, len(column), pairs)
-    return b, {f: float(theta[i]) for f, i in column.items() if theta[i]}
+    for a, others in swaps():
+        for at in np.flatnonzero(cols == column[features(a)[0]]):
+            row = int(np.searchsorted(ends, at, side="right"))
+            has = set(cols[ends[row - 1] if row else 0 : ends[row]].tolist())
+            for other in others:
+                fa, fb = ({column[f] for f in features(w)} for w in (a, other))
+                pairs.append((np.array(sorted(fa - fb), np.int64), np.array(sorted(fb - fa - has), np.int64)))
+    return pairs
 
 
 def narrowed(rows: DataFrame, columns: list[int]) -> DataFrame:
