@@ -24,7 +24,7 @@ def options_of(a: argparse.Namespace) -> Options:
 
 
 def run_extract(spark: SparkSession, a: argparse.Namespace) -> int:
-    found = extract.extract_repository(spark, a.src, a.include, a.exclude, options_of(a), a.workers).persist()
+    found = extract.extract_repository(spark, a.src, a.include, a.exclude, options_of(a), a.workers, a.cache).persist()
     if found.isEmpty():
         print("No templates found")
         return 0
@@ -101,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--exclude", "-e", action="append")
     e.add_argument("--workers", "-w", type=int)
     e.add_argument("--max-variants", type=int, default=16)
+    e.add_argument("--cache", help="table of facts by content, so that only new contents are parsed")
     e.add_argument("--verbose", "-v", action="store_true")
     n = sub.add_parser("analyze", help="report on a template table")
     n.add_argument("--templates", "-t", required=True)

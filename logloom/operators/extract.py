@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from logloom.functions.text import holes_from_braces, level_of, static_token_count, strip, template_id, unescape_braces
 from logloom.operators.java_syntax import MARKER, facts
 from logloom.schema import Options
+from logloom.sources.files import Repository
 
 ARG = "struct<kind:string,text:string,direct:string,resolved:string,format:string,concat:array<string>,builder:array<string>,vars:array<string>>"
 FACTS = (
@@ -49,6 +51,21 @@ def java_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, FACTS)
 
 
+def cached_facts(files: DataFrame, cache: str) -> DataFrame:
+    """``java_facts`` of ``files``, parsing only contents that the Parquet table at ``cache`` lacks; their facts are added to it."""
+    spark = files.sparkSession
+    keyed = files.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    try:
+        known = spark.read.parquet(cache).select("hash")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = keyed.select("hash").limit(0)
+    new = keyed.join(known, "hash", "left_anti").dropDuplicates(["hash"]).select(F.col("hash").alias("path"), "content")
+    java_facts(new).withColumnRenamed("path", "hash").write.mode("append").parquet(cache)
+    return keyed.select("path", "hash").join(spark.read.parquet(cache).dropDuplicates(["hash"]), "hash").drop("hash")
+
+
 def relation(found: DataFrame, name: str) -> DataFrame:
     return found.select("path", F.explode(name).alias("r")).select("path", "r.*")
 
@@ -243,10 +260,9 @@ def errors(found: DataFrame) -> DataFrame:
     return found.where("error is not null").select("path", "error")
 
 
-def extract_repository(spark: SparkSession, root: str, include=None, exclude=None, options: Options = Options(), partitions: int | None = None) -> DataFrame:
-    """Templates of a source tree; ``file_path`` is the path below the root's own place."""
-    from logloom.sources.files import Repository
-
+def extract_repository(spark: SparkSession, root: str, include=None, exclude=None, options: Options = Options(), partitions: int | None = None, cache: str | None = None) -> DataFrame:
+    """Templates of a source tree. With ``cache`` only files whose content is new are parsed."""
     files = Repository(spark, root, include, exclude).files()
-    return extract_templates(files.repartition(partitions) if partitions else files, options)
+    files = files.repartition(partitions) if partitions else files
+    return templates_of(cached_facts(files, cache).persist(StorageLevel.MEMORY_AND_DISK), options) if cache else extract_templates(files, options)
 

@@ -1,7 +1,7 @@
 """Matching of a stream of log lines. Parsing and best matching keep no state; counts are windowed with a watermark.
 
-A line's own number does not exist in a stream, so ``line_id`` is a hash of the file and the text's place in the micro-batch; best matching
-runs per micro-batch on that id with the same operator as a batch.
+A line's own number does not exist in a stream, so ``line_number`` is only unique within a micro-batch; best matching runs per micro-batch on
+it, with the same operator as a batch.
 """
 
 from __future__ import annotations

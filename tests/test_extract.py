@@ -111,3 +111,14 @@ def test_registered_rule(spark, files):
     finally:
         del X.RULES["system"]
         X.DIRECT.remove("system")
+
+
+def test_cache_parses_new_contents_only(spark, files, tmp_path):
+    cache = str(tmp_path / "facts")
+    some = files.where("path = 'a/Chain.java'")
+    first = X.templates_of(X.cached_facts(some, cache))
+    assert patterns(first, "a/Chain.java") == patterns(X.extract_templates(some), "a/Chain.java")
+    assert spark.read.parquet(cache).count() == 1
+    again = X.cached_facts(files.unionByName(files.where("path = 'a/Chain.java'").withColumn("path", X.F.lit("b/Copy.java"))), cache)
+    assert again.count() == files.count() + 1 and spark.read.parquet(cache).count() == files.count()
+    assert [p for _, p, _, _ in patterns(X.templates_of(again), "b/Copy.java")] == [p for _, p, _, _ in patterns(first, "a/Chain.java")]
