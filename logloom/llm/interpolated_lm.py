@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -215,8 +216,8 @@ def counted(packed: DataFrame, model: Model) -> DataFrame:
         m: Model = sent.value
 
         def pairs(key: np.ndarray, train: np.ndarray) -> np.ndarray:
-            _, inverse = np.unique(key, return_inverse=True)
-            return np.bincount(inverse[train], minlength=int(inverse.max(initial=-1)) + 1)[inverse].astype(np.int64)
+            number, found = pd.factorize(key)
+            return np.bincount(number[train], minlength=len(found))[number].astype(np.int64)
 
         def done(part: int, mine: list[tuple[int, bytes]]) -> pa.RecordBatch:
             got = [unpack(x) for _, x in mine]
@@ -224,8 +225,8 @@ def counted(packed: DataFrame, model: Model) -> DataFrame:
             cut = np.cumsum([[0, 0], *([len(x[0]), len(x[3])] for x in got)], axis=0)
             both = pairs(w.astype(np.int64) * (m.k + 2) + v, (doc & 1).astype(bool))
             train = (rare_doc & 1).astype(bool)
-            _, number = np.unique(h, return_inverse=True)
-            rare = np.bincount(number[train], minlength=int(number.max(initial=-1)) + 1)[number].astype(np.int64)
+            number, found = pd.factorize(h)
+            rare = np.bincount(number[train], minlength=len(found))[number].astype(np.int64)
             rare_both = pairs(number.astype(np.int64) * (m.k + 2) + rare_v, train)
             base = m.base(rare)
             rows = []
@@ -268,7 +269,7 @@ def histogram(table: DataFrame, model: Model):
                 f2 = np.log2(np.maximum(both - 1, 1e-300) / np.maximum(m.contexts[v] - 1, 1))
                 f1 = np.log2(np.maximum(w - 1, 1e-300) / max(m.tokens - 1, 1))
                 bins = [np.where(f > -60, np.floor(-f * BINS), 255).astype(np.int64) for f in (f2, f1)]
-                cell, inverse = np.unique((m.buckets(v) * 256 + bins[0]) * 256 + bins[1], return_inverse=True)
+                inverse, cell = pd.factorize((m.buckets(v) * 256 + bins[0]) * 256 + bins[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell, pa.int64()), pa.array(np.bincount(inverse), pa.int64()), pa.array(np.bincount(inverse, f2)), pa.array(np.bincount(inverse, f1))], schema=schema
                 )
@@ -311,10 +312,9 @@ def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
                 lam = mix[m.buckets(v)]
                 lam = np.where((c > 0)[:, None], lam, lam * [0, 1, 1] / (lam[:, 1:].sum(1, keepdims=True)))
                 p = lam[:, 0] * both / np.maximum(c, 1) + lam[:, 1] * w / max(m.tokens, 1) + lam[:, 2] / (m.distinct + 1)
-                docs, inverse = np.unique(doc >> 1, return_inverse=True)
-                cold = np.searchsorted(docs, rare_doc >> 1)
-                size = len(docs)
-                payload = pack(docs, np.bincount(inverse, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64))
+                size = int(doc.max(initial=-1)) // 2 + 1
+                cold = rare_doc >> 1
+                payload = pack(np.bincount(doc >> 1, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64))
                 one = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), TOKENS, payload)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one, ROWS, strict=True)], schema=ROWS)
 
@@ -324,10 +324,10 @@ def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
         def done(directory: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             ids, flags, sizes, known, base = directory
             score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
-            for docs, s, b, k in parts:
-                score[docs] += s
-                base[docs] += b
-                known[docs] += k
+            for s, b, k in parts:
+                score[: len(s)] += s
+                base[: len(s)] += b
+                known[: len(s)] += k
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), m.tokens)), pa.array(base), pa.array(score)],
                 schema=OUT,
