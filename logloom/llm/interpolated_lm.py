@@ -313,8 +313,9 @@ def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
                 lam = np.where((c > 0)[:, None], lam, lam * [0, 1, 1] / (lam[:, 1:].sum(1, keepdims=True)))
                 p = lam[:, 0] * both / np.maximum(c, 1) + lam[:, 1] * w / max(m.tokens, 1) + lam[:, 2] / (m.distinct + 1)
                 size = int(doc.max(initial=-1)) // 2 + 1
-                cold = rare_doc >> 1
-                payload = pack(np.bincount(doc >> 1, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64))
+                docs, cold = np.flatnonzero(np.bincount(doc >> 1, minlength=size)).astype(np.int32), rare_doc >> 1
+                score, base, known = np.bincount(doc >> 1, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64)
+                payload = pack(docs, score[docs], base[docs], known[docs])
                 one = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), TOKENS, payload)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one, ROWS, strict=True)], schema=ROWS)
 
@@ -324,10 +325,10 @@ def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
         def done(directory: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             ids, flags, sizes, known, base = directory
             score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
-            for s, b, k in parts:
-                score[: len(s)] += s
-                base[: len(s)] += b
-                known[: len(s)] += k
+            for docs, s, b, k in parts:
+                score[docs] += s
+                base[docs] += b
+                known[docs] += k
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), m.tokens)), pa.array(base), pa.array(score)],
                 schema=OUT,
