@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from logloom.functions.text import holes_from_braces, level_of, static_token_count, strip, template_id, unescape_braces
 from logloom.operators.java_syntax import MARKER, facts
 from logloom.schema import Options
+from logloom.session import ensure_importable
 from logloom.sources.files import Repository
 
 ARG = "struct<kind:string,text:string,direct:string,resolved:string,format:string,concat:array<string>,builder:array<string>,vars:array<string>>"
@@ -48,6 +49,7 @@ def java_facts(files: DataFrame) -> DataFrame:
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}", "calls": [], "scopes": [], "stmts": [], "params": [], "fields": []})
             yield pd.DataFrame(rows, columns=["path", "error", "calls", "scopes", "stmts", "params", "fields"])
 
+    ensure_importable(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, FACTS)
 
 
