@@ -63,24 +63,30 @@ class Words(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.make, self.join, self.hot, self.most = make, join, hot or {}, limit + len(hot or {})
-        self.parts: dict[bytes, object] = {}
         self.simple = all([i for p in PARTS.findall(w.decode().lower().encode()) for i in self.ids_of(p)] == self.whole(w) for w in PROBES)
 
     def __missing__(self, word: bytes):
         low = word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
         parts = PARTS.findall(low) if self.simple and b"<|" not in word else ()
-        if sum(map(len, parts)) == len(low):
+        if len(parts) == 1 and len(parts[0]) == len(low):
+            entry = self.of_part(low)
+        elif sum(map(len, parts)) == len(low):
             entry = None
             for part in parts:
-                found = self.parts.get(part)
-                if found is None:
-                    found = self.parts[part] = self.make(self.ids_of(part))
+                found = self.of_part(part)
                 entry = found if entry is None else self.join(entry, found)
         else:  # some character is none that the rule knows
             entry = self.make(self.whole(word))
         self[word] = entry
         return entry
 
+    def of_part(self, part: bytes):
+        """A part's entry is that of the word which it would be by itself."""
+        found = self.get(part)
+        if found is None:
+            found = self[part] = self.make(self.ids_of(part))
+        return found
+
     def __call__(self, words: list[bytes]) -> list:
         """The entries for ``words``, in order. A table that has grown too large starts anew first."""
         return [*map(self.lookup(), words)]
@@ -88,7 +94,6 @@ class Words(dict):
     def lookup(self):
         if len(self) > self.most:
             self.clear()
-            self.parts.clear()
             self.update(self.hot)
         return self.__getitem__
 

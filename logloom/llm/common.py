@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.session import ensure_importable
+
 #: Words of the contracts, as a regular expression for the JVM.
 SPACE = r"[\x20\x09-\x0D]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,14 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, what: str, **options) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Cuts lineage: writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     The table survives the loss of any executor. Spark commits it only when every task has succeeded.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/logloom-{what}-{uuid.uuid4().hex}"
-    df.write.options(**options).option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,4 +82,5 @@ def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def id_and_bytes(docs: DataFrame, *more) -> DataFrame:
     """Only what the scan needs: doc_id and the text as UTF-8 bytes (null: empty)."""
+    ensure_importable(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)

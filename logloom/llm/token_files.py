@@ -150,7 +150,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
 
     rows = id_and_bytes(docs).mapInArrow(ids, "part long, doc_id long, raw long, ids binary")
     rows = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "raw", "ids")
-    return written(rows.mapInArrow(segments, "part long, seq long, n_docs long, n_ids long, payload binary"), "ids")
+    return written(rows.mapInArrow(segments, "part long, seq long, n_docs long, n_ids long, payload binary"), "ids", "none")
 
 
 def starts(segments: DataFrame) -> dict[tuple[int, int], int]:
