@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import written
+from logloom.session import ensure_importable
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -50,6 +51,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge; ``edges`` has long columns a and b, root is the component's smallest node."""
+    ensure_importable(edges.sparkSession)
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(edges.mapInArrow(forest, "a long, b long").distinct(), "edges")
     state = None
