@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text
-from logloom.functions.lines import FORMATS, header_split, parsed
+from logloom.functions.lines import FORMATS, event_time, header_split, parsed
 from logloom.operators import matching, reports, templates
-from logloom.plans.rendered import duck_lines, duck_templates, log_lines, table
+from logloom.plans.rendered import duck_lines, duck_templates, log_lines, rendered_lines, table
 from logloom.plans.rendered import templates as inline
 from logloom.sources import sinks
+from logloom.streaming import live
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,3 +242,15 @@ def walk_files(spark, sf_dir):
 
     files = table(spark, sf_dir, "part").select(F.expr(PATHS).alias("path"))
     return walked(files, "/repo", ("*.java",), ("*/vendor/*", *EXCLUDED)).select("path")
+
+
+@query("stream_level_counts", f"WITH {PARSED} SELECT substr(\"timestamp\", 1, 10) AS day, lower(level) AS level, count(*) AS lines FROM parsed WHERE \"timestamp\" IS NOT NULL AND level IS NOT NULL GROUP BY 1, 2")
+def stream_level_counts(spark, sf_dir):
+    """The events as a stream of log lines: counts by day and level, from a watermarked window."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = parsed(rendered_lines(spark, events)).withColumn("event_time", event_time("timestamp"))
+    name = f"levels_{uuid.uuid4().hex}"
+    counts = live.level_counts(stream, "1 day")
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "level", "lines")

@@ -51,7 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES.replace("{stamp}", STAMPS["spark"]).replace("FROM events)", "FROM {events})"), events=table(spark, sf_dir, "events"))
+    return rendered_lines(spark, table(spark, sf_dir, "events"))
+
+
+def rendered_lines(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return spark.sql(LINES.replace("{stamp}", STAMPS["spark"]).replace("FROM events)", "FROM {events})"), events=events)
 
 
 def duck_lines() -> str:

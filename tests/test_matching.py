@@ -137,3 +137,13 @@ def test_tree(spark):
     built = build(inline(spark, FIVE))
     assert edges(built).where("node = 'User <*> logged in'").collect()[0].token == "from"
     assert built.select(F.max("holes")).first()[0] == 2
+
+
+def test_single_lines(spark):
+    from logloom import api
+
+    side = inline(spark, FIVE)
+    assert [r.template_id for r in api.match(side, "User a logged in from b")] == ["t2"]
+    assert api.best_match(side, "User a logged in", "ERROR") is None and api.best_match(side, "User a logged in", "info").template_id == "t1"
+    assert api.describe(api.best_match(side, "Processing 9 items")) == "t4 (0.767) Processing <*> items <- 9" and api.size(side) == 5
+    assert api.match(side, "") == [] and api.best_match(side, "no such line") is None
