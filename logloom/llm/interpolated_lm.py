@@ -26,6 +26,7 @@ their result; a null doc_id counts as the empty text in the fold.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from logloom.llm.bpe import hot_threshold
 from logloom.llm.common import LOWER, documents, fold, id_and_bytes, slices, written
 
-CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 500_000, 3_000_000, 64
+CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 500_000, 3_000_000, 96
 KEPT_WORDS, EM_STEPS, BINS = 200_000, 60, 4
 #: Bucket of the contexts that are not in the table, and of a text's beginning.
 RARE_BUCKET, BEGIN_BUCKET = 62, 63
@@ -68,6 +69,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as hold them."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
 def hashed(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
@@ -101,7 +108,9 @@ class Model:
         self.end = n_docs
         self.tokens, self.distinct = words + n_docs, distinct + (n_docs > 0)
         hot = sorted(hot, key=lambda x: (-x[1], x[0]))
-        self.hashes = np.array([h for h, _ in hot], np.int64)
+        hashes = np.array([h for h, _ in hot], np.int64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
         self.k = len(hot)
         counts = np.array([n for _, n in hot], np.int64)
         #: Counts of targets: frequent words, then the end. Counts of contexts: frequent words, then the rare ones, then the beginning.
@@ -109,6 +118,13 @@ class Model:
         self.contexts = np.append(counts, (words - int(counts.sum()), n_docs))
         self.parts = max(LEAST_PARTS, self.tokens // PART_TOKENS)
 
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """Ranks of the frequent words among ``hashes``; -1 for the others."""
+        if not self.k:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.k - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
 
@@ -138,21 +154,19 @@ def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         k = m.k
-        rank_of = dict(zip(m.hashes.tolist(), range(k), strict=True))
         table: dict[bytes, int] = {}
-        ranks, hashes = [], []
+        ranks, hashes = array("q"), array("q")
         base = m.base(m.targets)
         block = (TaskContext.get().partitionId() << 32) - 1
         held: list[tuple] = []
         tokens = 0
 
         def learn(words: list[bytes]) -> None:
-            for w in words:
-                if w not in table:
-                    table[w] = len(table)
-                    h = hashed(w)
-                    hashes.append(h)
-                    ranks.append(rank_of.get(h, -1))
+            new = [w for w in dict.fromkeys(words) if w not in table]
+            table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            found = np.fromiter(map(hashed, new), np.int64, len(new))
+            hashes.frombytes(found.tobytes())
+            ranks.frombytes(m.ranks(found).astype(np.int64).tobytes())
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(x) + 1 for *_, x in held])
@@ -161,17 +175,18 @@ def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
             word = np.ones(len(at), bool)
             word[ends] = False
             at[word] = np.concatenate([x for *_, x in held])
-            w = np.array([*ranks, -1], np.int64)[at] if ranks else np.full(len(at), -1)
+            known_words = bool(len(ranks))
+            w = np.array(ranks, np.int64)[at] if known_words else np.full(len(at), -1)
             w[ends] = k
             v = np.append(k + 1, np.where(w < 0, k, w)[:-1])
             v[ends[:-1] + 1] = k + 1
             train = np.array([t for _, _, t, _ in held], bool)
             doc = np.repeat(np.arange(len(held)) * 2 + train, sizes).astype(np.int32)
             hot = w >= 0
-            h = np.array([*hashes, 0], np.int64)[at]
+            h = np.array(hashes, np.int64)[at] if known_words else np.zeros(len(at), np.int64)
             sums = np.bincount(doc[hot] >> 1, base[w[hot]], minlength=len(held))
             known = np.bincount(doc[hot] >> 1, m.targets[w[hot]] > 0, minlength=len(held)).astype(np.int64)
-            part = np.where(hot, part_of(w, v + 1, m.parts), part_of(h, 0, m.parts)).astype(np.uint32)
+            part = np.where(hot, part_of(w, v + 1, m.parts), part_of(h, 0, m.parts)).astype(np.uint16 if m.parts < 1 << 16 else np.uint32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(m.parts + 1))
             rows = []
@@ -199,7 +214,7 @@ def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
                     yield flush()
                     held, tokens = [], 0
                     if len(table) > KEPT_WORDS:
-                        table, ranks, hashes = {}, [], []
+                        table, ranks, hashes = {}, array("q"), array("q")
         if held:
             block += 1
             yield flush()
@@ -233,7 +248,7 @@ def counted(packed: DataFrame, model: Model) -> DataFrame:
             for i, (block, _) in enumerate(mine):
                 a, b = slice(cut[i, 0], cut[i + 1, 0]), slice(cut[i, 1], cut[i + 1, 1])
                 one = lambda x, y: np.concatenate((x[a], y[b]))  # noqa: B023, E731
-                rows.append((part, block, TOKENS, pack(one(doc, rare_doc), one(both, rare_both), one(v, rare_v), one(m.targets[w], rare), rare_doc[b], rare[b], base[b])))
+                rows.append((part, block, TOKENS, pack(one(doc, rare_doc), small(one(both, rare_both)), one(v, rare_v), small(one(m.targets[w], rare)), rare_doc[b], small(rare[b]), base[b])))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
         last, mine = None, []
@@ -261,15 +276,16 @@ def histogram(table: DataFrame, model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
+        contexts, tokens, buckets = np.log2(np.maximum(m.contexts - 1, 1)), np.log2(max(m.tokens - 1, 1)), m.buckets(np.arange(m.k + 2))
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, both, v, w, *_ = unpack(batch.column(0)[i].as_py())
                 train = (doc & 1).astype(bool)
                 both, v, w = both[train], v[train], w[train]
-                f2 = np.log2(np.maximum(both - 1, 1e-300) / np.maximum(m.contexts[v] - 1, 1))
-                f1 = np.log2(np.maximum(w - 1, 1e-300) / max(m.tokens - 1, 1))
+                f2 = np.log2(np.maximum(both, 1) - 1 + 1e-300) - contexts[v]
+                f1 = np.log2(np.maximum(w, 1) - 1 + 1e-300) - tokens
                 bins = [np.where(f > -60, np.floor(-f * BINS), 255).astype(np.int64) for f in (f2, f1)]
-                inverse, cell = pd.factorize((m.buckets(v) * 256 + bins[0]) * 256 + bins[1])
+                inverse, cell = pd.factorize((buckets[v] * 256 + bins[0]) * 256 + bins[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell, pa.int64()), pa.array(np.bincount(inverse), pa.int64()), pa.array(np.bincount(inverse, f2)), pa.array(np.bincount(inverse, f1))], schema=schema
                 )
@@ -302,16 +318,17 @@ def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, mix = sent.value
+        # Each context's mixture, over the counts' denominators. A context that was never seen has no pairs.
+        lam = mix[m.buckets(np.arange(m.k + 2))]
+        lam = np.where((m.contexts > 0)[:, None], lam, lam * [0, 1, 1] / lam[:, 1:].sum(1, keepdims=True))
+        pairs, words, flat = lam[:, 0] / np.maximum(m.contexts, 1), lam[:, 1] / max(m.tokens, 1), lam[:, 2] / (m.distinct + 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column(2)[i].as_py() == DIRECTORY:
                     yield batch.slice(i, 1).cast(ROWS)
                     continue
                 doc, both, v, w, rare_doc, rare, base = unpack(batch.column(3)[i].as_py())
-                c = m.contexts[v]
-                lam = mix[m.buckets(v)]
-                lam = np.where((c > 0)[:, None], lam, lam * [0, 1, 1] / (lam[:, 1:].sum(1, keepdims=True)))
-                p = lam[:, 0] * both / np.maximum(c, 1) + lam[:, 1] * w / max(m.tokens, 1) + lam[:, 2] / (m.distinct + 1)
+                p = pairs[v] * both + words[v] * w + flat[v]
                 size = int(doc.max(initial=-1)) // 2 + 1
                 docs, cold = np.flatnonzero(np.bincount(doc >> 1, minlength=size)).astype(np.int32), rare_doc >> 1
                 score, base, known = np.bincount(doc >> 1, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64)
