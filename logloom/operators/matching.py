@@ -73,7 +73,8 @@ def scored(found: DataFrame) -> DataFrame:
 def best_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0, use_level: bool = True, options: Options = Options(), keep: str = "left") -> DataFrame:
     """Every line with its best match, or nulls: most static tokens, then confidence, then first derivation, then insertion.
 
-    One shuffle by line, of rows already reduced to the best of their task. ``lines`` needs ``line_number`` (unique) and ``message``.
+    One shuffle by line, of rows already reduced to the best of their task. ``lines`` needs ``message`` and ``line_number``, unique (within
+    its ``file``, if that is a column).
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
@@ -86,8 +87,11 @@ def best_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
         F.struct("template_id", "confidence", "pattern", "static_token_count", F.col("t_level").alias("template_level"), "values", "location", "branch_variant").alias("match"),
     )
     good = F.col("template_id").isNotNull() & (F.col("confidence") >= threshold)
-    best = found.groupBy(*own).agg(F.min(F.when(good, rank)).alias("best"))
-    return best.select(*own, "best.match.*")
+    # One row of each line stays without a match: that of the key which every line has.
+    found = found.where(F.col("template_id").isNotNull() | F.col("l_key").isNull() | (F.col("l_key") == "*"))
+    key = [c for c in ("file", "line_number") if c in own]
+    best = found.groupBy(*key).agg(F.first(F.struct(*own)).alias("line"), F.min(F.when(good, rank)).alias("best"))
+    return best.select("line.*", "best.match.*")
 
 
 def all_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0, use_level: bool = True, options: Options = Options()) -> DataFrame:
@@ -119,7 +123,7 @@ def all_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
         state = state.withColumns({"values": F.concat("values", taken), "step_key": F.concat("step_key", step)}).withColumn("pos", F.col("pos") + F.col("len")).drop("len")
     done = state if options.allow_trailing else state.where("pos = n")
     order = F.struct((-F.col("static_token_count")).alias("a"), (-F.col("confidence")).alias("b"), F.col("step_key").alias("c"), F.col("ins_idx").alias("d"))
-    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy("line_number").orderBy(order)))
+    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy(*[c for c in ("file", "line_number") if c in own]).orderBy(order)))
     return ranked.select(*own, "rank", "template_id", "confidence", "pattern", "static_token_count", F.col("t_level").alias("template_level"), "values", "location", "branch_variant")
 
 
@@ -129,7 +133,8 @@ def captured(token: Column, pattern: Column):
 
 def unmatched(lines: DataFrame, matches: DataFrame) -> DataFrame:
     """Lines without a match."""
-    return lines.join(matches.where("template_id is not null").select("line_number"), "line_number", "left_anti")
+    key = [c for c in ("file", "line_number") if c in lines.columns and c in matches.columns]
+    return lines.join(matches.where("template_id is not null").select(*key), key, "left_anti")
 
 
 def used_templates(templates: DataFrame, matches: DataFrame) -> DataFrame:
