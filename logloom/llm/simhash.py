@@ -207,14 +207,6 @@ def classes(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFra
     return prints.join(roots.join(least, "root").select("print", "root", "component_id"), "print")
 
 
-def representatives(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
-    """One row of each component, with all its columns: the smallest doc_id (a null only where there is no other), then the smallest row key."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = classes(docs, limit, size).groupBy("root").agg(first).select(F.col("first.row").alias("kept_row_key")).distinct()
-    keyed = docs.withColumn("kept_row_key", row_key())
-    return keyed.join(kept, "kept_row_key", "left_semi").dropDuplicates(["kept_row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def simhash(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id."""
     text = F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint")
