@@ -69,6 +69,17 @@ st AS (SELECT n.line_number, t.template_id, 0 AS i, 0 AS pos, CAST([] AS INTEGER
     CASE WHEN s.tt[s.i + 1] = '<*>' THEN list_append(s.caps, array_to_string(s.tk[s.pos + 1:s.pos + w.len], ' ')) ELSE s.caps END, s.tk, s.n, s.tt, s.p
   FROM st s JOIN (SELECT unnest(range(1, 40)) AS len) w ON s.i < s.p AND (CASE WHEN s.tt[s.i + 1] = '<*>' THEN s.pos + w.len + (s.p - s.i - 1) <= s.n ELSE w.len = 1 AND s.tk[s.pos + 1] = s.tt[s.i + 1] END))
 """
+#: As ``ALL``, over all templates: with a step for a token that has a hole within (at most one, as in t6).
+IN_TOKEN = r"'^' || replace(regexp_replace(replace(s.tt[s.i + 1], '<*>', chr(1)), '([^\w' || chr(1) || '])', '\\\1', 'g'), chr(1), '(\S+?)') || '$'"
+EVERY = f"""WITH RECURSIVE {PARSED}, {TOKENS}, {NORM}, tmpl AS (SELECT *, string_split(pattern, ' ') AS tt FROM {duck_templates()}),
+st AS (SELECT n.line_number, t.template_id, 0 AS i, 0 AS pos, CAST([] AS INTEGER[]) AS ky, CAST([] AS VARCHAR[]) AS caps, n.tk, n.n, t.tt, t.p
+  FROM norm n JOIN tmpl t ON {LEVEL} AND n.n >= t.p
+  UNION ALL
+  SELECT s.line_number, s.template_id, s.i + 1, s.pos + w.len, list_append(s.ky, CASE WHEN s.tt[s.i + 1] = '<*>' THEN CAST(1 + w.len AS INTEGER) WHEN contains(s.tt[s.i + 1], '<*>') THEN 1 ELSE 0 END),
+    CASE WHEN s.tt[s.i + 1] = '<*>' THEN list_append(s.caps, array_to_string(s.tk[s.pos + 1:s.pos + w.len], ' ')) WHEN contains(s.tt[s.i + 1], '<*>') THEN list_append(s.caps, regexp_extract(s.tk[s.pos + 1], {IN_TOKEN}, 1)) ELSE s.caps END, s.tk, s.n, s.tt, s.p
+  FROM st s JOIN (SELECT unnest(range(1, 40)) AS len) w ON s.i < s.p AND (CASE WHEN s.tt[s.i + 1] = '<*>' THEN s.pos + w.len + (s.p - s.i - 1) <= s.n WHEN contains(s.tt[s.i + 1], '<*>') THEN w.len = 1 AND regexp_matches(s.tk[s.pos + 1], {IN_TOKEN}) ELSE w.len = 1 AND s.tk[s.pos + 1] = s.tt[s.i + 1] END))
+"""
+RANKED = " AS confidence, CAST(row_number() OVER (PARTITION BY s.line_number ORDER BY t.static DESC, " + CONF + " DESC, s.ky, t.ins_idx) AS INTEGER) AS rank FROM st s JOIN tmpl t USING (template_id) JOIN norm n USING (line_number) WHERE s.i = s.p AND s.pos = s.n"
 #: Report pieces over ``best``.
 Q: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -142,6 +153,12 @@ def all_matches(spark, sf_dir):
     return found.select("line_number", "template_id", F.array_join("values", " | ").alias("extracted"), "confidence", "rank")
 
 
+@query("all_matches_every_template", EVERY + "SELECT s.line_number, s.template_id, array_to_string(s.caps, ' | ') AS extracted, " + CONF + RANKED)
+def all_matches_every_template(spark, sf_dir):
+    found = matching.all_matches(wanted(spark, sf_dir), inline(spark))
+    return found.select("line_number", "template_id", F.array_join("values", " | ").alias("extracted"), "confidence", "rank")
+
+
 @query("trie_edges", f"WITH t AS (SELECT string_split(pattern, ' ') AS tt, unnest(range(0, p)) AS i FROM {duck_templates()}) SELECT DISTINCT array_to_string(tt[1:i], ' ') AS node, tt[i + 1] AS token, array_to_string(tt[1:i + 1], ' ') AS child FROM t")
 def trie_edges(spark, sf_dir):
     return templates.edges(templates.build(inline(spark)))
