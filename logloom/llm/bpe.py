@@ -3,14 +3,17 @@
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its words one after another.
 Words are split on ASCII white space (other white space stays inside a word and is left to the tokenizer).
 
-1. Spark counts the corpus's words; the words above a count at which at most ``hot_words`` remain form the hot table. Each is
-   encoded once, by an Arrow function over the distributed table, and the table (bounded by that parameter) goes to every worker.
-2. Every task walks its documents once. Ids are joined back by position: from the hot table, or from the task's own table of
-   the remaining words, each encoded once there when first met. An encoding depends on the word alone, and a rare word costs
-   less to encode than to send through a shuffle, so no document and no token ever crosses the network.
-3. Decoding joins ids to the vocabulary's pieces, again once for each distinct word.
-
-Defined cases: null is the empty text; empty text has no ids and decodes to the empty text; a repeated row gives a repeated result.
+1. Texts are split into blocks (``blocks``); each sends its different words to the parts that own them, a word to one part.
+2. A part holds its share of the corpus's distinct words and encodes each of them once, whatever the number of blocks that ask for it.
+3. The ids come back to the blocks and are joined to the documents by position.
+4. Decoding joins every id of a document to its piece; the vocabulary is the small side and is at hand in every worker.
+
+Neither a text nor a token crosses the network as such: a block's words travel once, its positions as packed numbers. A part's memory
+is its share of the distinct words, so the number of parts (``blocks.parts_for``, the session's shuffle partitions at least) sets it.
+
+Defined cases: null is the empty text; empty text has no ids and decodes to the empty text; a repeated row gives a repeated result;
+a null doc_id stays null; further columns are ignored; null or empty ids decode to the empty text, an id without a piece to an
+empty piece.
 """
 
 from __future__ import annotations
@@ -18,16 +21,21 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import SPACE, documents, id_and_bytes, per_row, slices, written
+from logloom.llm import blocks as B
+from logloom.llm.common import documents, id_and_bytes, rows_to_batch, slices
+from logloom.session import ensure_importable
 
-#: Largest number of words in the hot table, and of words that a task's own table holds before it starts anew.
-HOT_WORDS, OWN_WORDS = 65_536, 150_000
+#: Words that a table holds, if it is given no other limit, before it starts anew.
+OWN_WORDS = 150_000
 #: The parts into which the tokenizer cuts words of ASCII marks, digits and letters and of Latin-1 letters.
 PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
 #: The characters by which byte-level vocabularies write bytes: printable Latin-1 ones as they are, the others from U+0100 on.
@@ -36,7 +44,6 @@ BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in
 PROBES = ("hello", "World", "internationalization,", "x!!", "QUICK.?", "it's", "I'LL", "''s", "a1b22c", "École", "Straße-ñandú", "ÀÖØÞßÿ", "a|<b>", "#$%&*", "don't!?", "0x9f", "zzqxj***")
 PROBES = tuple(w.encode() for w in PROBES)
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-WORDS = pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32()))])
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,16 +60,16 @@ class Words(dict):
     are encoded as they are, and so is every word if the rule fails on ``PROBES`` for the given tokenizer.
     """
 
-    def __init__(self, path: str, make, join, hot: dict | None = None, limit: int = OWN_WORDS):
+    def __init__(self, path: str, make, join, limit: int | None = OWN_WORDS):
         from tokenizers import Tokenizer
 
-        super().__init__(hot or {})
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.make, self.join, self.hot, self.most = make, join, hot or {}, limit + len(hot or {})
+        self.make, self.join, self.most = make, join, limit
         self.simple = all([i for p in PARTS.findall(w.decode().lower().encode()) for i in self.ids_of(p)] == self.whole(w) for w in PROBES)
 
     def __missing__(self, word: bytes):
@@ -92,9 +99,8 @@ class Words(dict):
         return [*map(self.lookup(), words)]
 
     def lookup(self):
-        if len(self) > self.most:
+        if self.most is not None and len(self) > self.most:
             self.clear()
-            self.update(self.hot)
         return self.__getitem__
 
     def ids_of(self, part: bytes) -> list[int]:
@@ -113,94 +119,119 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Every word of the corpus with its count. Partial counts keep a frequent word to one row a task."""
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-
+def id_code(path: str, more: int = 0) -> str:
+    """Array type that holds every id of the vocabulary (and ``more``)."""
+    from tokenizers import Tokenizer
 
-def hot_threshold(counts: DataFrame, most: int) -> int:
-    """The smallest count at which no more than ``most`` words remain, from the (short) histogram of counts."""
-    left = 0
-    least = 1 << 62
-    for n, words in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        left += words
-        if left > most:
-            break
-        least = n
-    return least
+    return "H" if max(Tokenizer.from_file(path).get_vocab_size(), more + 1) <= 1 << 16 else "I"
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Ids of each row's word; the rows are distinct, so each word is encoded once."""
+def packed_ids(code: str) -> Callable[[list[int]], bytes]:
+    """Ids as little-endian bytes of two or four each."""
+    little, kind = sys.byteorder == "little", f"<u{2 if code == 'H' else 4}"
+    return lambda ids: array(code, ids).tobytes() if little else np.array(ids, kind).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(path, list, list.__add__, limit=0)
-        for (found,) in slices(batches, ("word",)):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(table(found), pa.list_(pa.int32()))], schema=WORDS)
 
-    return words.select(F.col("word").cast("binary")).mapInArrow(run, "word binary, ids array<int>")
+def ask(block: B.Block, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """A block's different words for each part, and its documents as numbers of words."""
+    _, part, kind = block.renumbered(parts)
+    for p, places in B.by_part(part):
+        words = np.frombuffer(b" ".join([block.words[i] for i in places.tolist()]), np.uint8)
+        yield p, B.REQUEST, B.pack(kind[places], words)
+    ids = [d for (d,) in block.rows]
+    yield -1, B.POSITIONS, B.pack(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), block.sizes, block.at)
 
 
-def hot_table(docs: DataFrame, path: str, most: int = HOT_WORDS) -> list[tuple[bytes, list[int]]]:
-    """At most ``most`` words with their ids."""
-    counts = written(word_counts(docs), "words")
-    hot = counts.where(F.col("n") >= hot_threshold(counts, most))
-    return [(bytes(w), list(ids)) for w, ids in encode_words(hot, path).collect()]
+def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers a part's requests: every different word of the part is encoded when it is first asked for, and never again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = id_code(path)
+        table = Words(path, packed_ids(code), bytes.__add__, limit=None)
+        size = 2 if code == "H" else 4
+        for key, block, part, kind, payload in B.rows_of(batches):
+            if kind == B.REQUEST:
+                kinds, words = B.unpack(payload)
+                found = table(words.tobytes().split(b" "))
+                lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+                payload = B.pack(kinds, B.small(lengths), np.frombuffer(b"".join(found), f"<u{size}"))
+            yield B.batch_of([(key, block, part, kind, payload)])
 
-def encode(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
-    """doc_id and ids (array<int>) of every row of ``docs``."""
-    path = path or tokenizer_path()
-    hot = docs.sparkSession.sparkContext.broadcast(hot_table(docs, path, hot_words) if hot_words else [])
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return run
 
-    def run(batches):
-        table = Words(path, list, list.__add__, dict(hot.value))
-        yield from per_row(lambda doc, raw: (doc, [i for ids in table(raw.split()) for i in ids]), ("doc_id", "text"), schema)(batches)
 
-    return id_and_bytes(docs).mapInArrow(run, "doc_id long, ids array<int>")
+def by_document(docs: DataFrame, path: str, finish: Callable, schema: pa.Schema, kind: str, size: int = B.BLOCK_WORDS) -> DataFrame:
+    """``finish()`` gives a function of (doc_id, pieces of the document's ids) that returns the document's row."""
+    parts = B.parts_for(docs)
+    asked = B.requests(id_and_bytes(docs), ("doc_id",), parts, ask, size)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = finish()
+        for _, answers, (ids, none, sizes, at) in B.by_block(batches):
+            kinds, lengths, values = zip(*(x for _, _, x in answers), strict=True) if answers else ((), (), ())
+            order = B.restored(kinds)
+            each = np.concatenate(lengths).astype(np.int64) if answers else np.zeros(0, np.int64)
+            starts, each, flat = (np.cumsum(each) - each)[order], each[order], np.concatenate(values) if answers else np.zeros(0, np.uint16)
+            ends = np.cumsum(sizes)
+            rows = []
+            for k, (doc, end) in enumerate(zip(ids.tolist(), ends.tolist(), strict=True)):
+                rows.append(row(None if none[k] else doc, B.sequences(flat, starts, each, at[end - sizes[k] : end])))
+                if len(rows) >= 256:
+                    yield rows_to_batch(rows, schema)
+                    rows = []
+            yield rows_to_batch(rows, schema)
+
+    return B.together(B.answered(asked, parts, encoder(path)), parts).mapInArrow(run, kind)
+
+
+def encode(docs: DataFrame, path: str | None = None, size: int = B.BLOCK_WORDS) -> DataFrame:
+    """doc_id and ids (array<int>) of every row of ``docs``."""
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text: every id joined to its piece (a table as small as the vocabulary), put together by position.
+    def finish():
+        return lambda doc, found: (doc, [i for some in found for i in some.tolist()])
 
-    ``encoded`` has one row for each doc_id; null or empty ids decode to the empty text.
-    """
-    path = path or tokenizer_path()
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([*enumerate(pieces(path))], "id int, piece string")
-    at = encoded.select("doc_id", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
-    texts = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("found"))
-    joined = F.array_join(F.transform("found", lambda x: F.coalesce(x["piece"], F.lit(""))), " ")
-    return encoded.select("doc_id").join(texts.select("doc_id", joined.alias("text")), "doc_id", "left").fillna("", ["text"])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return by_document(docs, path or tokenizer_path(), finish, schema, "doc_id long, ids array<int>", size)
 
 
-def digests(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
-    """Per row: number of ids, digest of the ids, digest of the decoded text."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and text of every row of ``encoded`` (doc_id, ids): each id joined to its piece, in order."""
     path = path or tokenizer_path()
-    hot = docs.sparkSession.sparkContext.broadcast(hot_table(docs, path, hot_words) if hot_words else [])
-
-    def run(batches):
-        piece = pieces(path)
-
-        def entry(ids) -> tuple[bytes, bytes]:
-            return " ".join(map(str, ids)).encode(), " ".join([piece[i] for i in ids]).encode()
+    ensure_importable(encoded.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
-        def join(a, b) -> tuple[bytes, bytes]:
-            return a[0] + b" " + b[0], a[1] + b" " + b[1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(path)
+        known = range(len(table))
+        for docs, lists in slices(batches, ("doc_id", "ids")):
+            yield rows_to_batch([(d, " ".join([table[i] if i in known else "" for i in ids or ()])) for d, ids in zip(docs, lists, strict=True)], schema)
 
-        table = Words(path, entry, join, {w: entry(ids) for w, ids in hot.value})
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
-        def one(doc_id, raw):
-            found = [x for x in map(table.lookup(), raw.split()) if x[0]]
-            ids = b" ".join([x[0] for x in found])
-            decoded = hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest()
-            return doc_id, ids.count(b" ") + 1 if found else 0, hashlib.sha256(ids).hexdigest(), decoded
 
-        yield from per_row(one, ("doc_id", "text"), DIGEST)(batches)
+def digests(docs: DataFrame, path: str | None = None, size: int = B.BLOCK_WORDS) -> DataFrame:
+    """Per row: number of ids, digest of the ids, digest of the text that they decode to."""
+    path = path or tokenizer_path()
 
-    return id_and_bytes(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def finish():
+        table = [p.encode() for p in pieces(path)]
+        names = [str(i).encode() for i in range(len(table))]
+
+        def row(doc, found):
+            n, ids, text = 0, hashlib.sha256(), hashlib.sha256()
+            for some in found:
+                if n and len(some):
+                    ids.update(b" ")
+                    text.update(b" ")
+                listed = some.tolist()
+                ids.update(b" ".join([names[i] for i in listed]))
+                text.update(b" ".join([table[i] for i in listed]))
+                n += len(listed)
+            return doc, n, ids.hexdigest(), text.hexdigest()
+
+        return row
+
+    return by_document(docs, path, finish, DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", size)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

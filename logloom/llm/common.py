@@ -84,3 +84,15 @@ def id_and_bytes(docs: DataFrame, *more) -> DataFrame:
     """Only what the scan needs: doc_id and the text as UTF-8 bytes (null: empty)."""
     ensure_importable(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
+
+
+def hot_threshold(counts: DataFrame, most: int) -> int:
+    """The smallest count at which no more than ``most`` words remain, from the (short) histogram of counts."""
+    left = 0
+    least = 1 << 62
+    for n, words in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        left += words
+        if left > most:
+            break
+        least = n
+    return least

@@ -38,8 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import hot_threshold
-from logloom.llm.common import LOWER, documents, fold, id_and_bytes, slices, written
+from logloom.llm.common import LOWER, documents, fold, hot_threshold, id_and_bytes, slices, written
 
 CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 500_000, 3_000_000, 96
 KEPT_WORDS, EM_STEPS, BINS = 200_000, 60, 4

@@ -16,9 +16,7 @@ a null doc_id comes first.
 from __future__ import annotations
 
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import Words, tokenizer_path
+from logloom.llm.bpe import Words, id_code, packed_ids, tokenizer_path
 from logloom.llm.common import documents, id_and_bytes, rows_to_batch, slices, written
 
 SEGMENT_IDS = 1 << 20
@@ -111,15 +109,12 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
     """
     path = path or tokenizer_path()
     bounds = docs.sparkSession.sparkContext.broadcast(np.array(ranges(docs, each), np.int64))
-    from tokenizers import Tokenizer
-
-    kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    code = id_code(path, end_id)
+    kind = "<u2" if code == "H" else "<u4"
     encoded = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary())])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = "H" if kind == "<u2" else "I"
-        little = sys.byteorder == "little"
-        table = Words(path, lambda x: array(code, x).tobytes() if little else np.array(x, kind).tobytes(), bytes.__add__, limit=KEPT_WORDS)
+        table = Words(path, packed_ids(code), bytes.__add__, limit=KEPT_WORDS)
         end = np.array([end_id], kind).tobytes()
         for doc_ids, texts in slices(batches, ("doc_id", "text")):
             parts = np.searchsorted(bounds.value, [-(1 << 63) if d is None else d for d in doc_ids], side="right").tolist()

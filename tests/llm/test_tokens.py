@@ -2,12 +2,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from logloom.llm import bpe, token_files
+from logloom.llm import blocks, bpe, token_files
 from tests.llm import cases
 
 
@@ -20,19 +21,19 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [0, 5, 1000])
-def test_digests_equal_the_library(spark, plain, hot):
+@pytest.mark.parametrize("size", [1, 100, 10**6])
+def test_digests_equal_the_library(spark, plain, size):
     docs = cases.frame(spark)
     want = []
     for doc_id, text, *_ in cases.rows():
         ids = plain.encode(text or "", add_special_tokens=False).ids
         want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(plain.decode(ids, skip_special_tokens=False))))
-    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in bpe.digests(docs, hot_words=hot).collect())
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in bpe.digests(docs, size=size).collect())
 
 
 def test_encode_and_decode_round_trip(spark, plain):
     docs = cases.frame(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
-    encoded = bpe.encode(docs, hot_words=10)
+    encoded = bpe.encode(docs, size=50)
     texts = {r.doc_id: r.text for r in bpe.decode(encoded).collect()}
     for doc_id, text, *_ in cases.rows()[: len(cases.TEXTS)]:
         assert texts[doc_id] == plain.decode(plain.encode(text or "", add_special_tokens=False).ids, skip_special_tokens=False)
@@ -54,10 +55,48 @@ def test_empty_tables(spark):
     assert token_files.read_ids(token_files.write_ids(cases.empty(spark))).count() == 0
 
 
-def test_hot_table_is_bounded(spark):
-    docs = cases.frame(spark)
-    assert len(bpe.hot_table(docs, bpe.tokenizer_path(), 7)) <= 7
-    assert len(bpe.hot_table(docs, bpe.tokenizer_path(), 10_000)) == bpe.word_counts(docs).count()
+def test_every_distinct_word_is_encoded_once(monkeypatch):
+    """Three parts, many blocks: the tokenizer sees each word or part of a word once, wherever it stands."""
+    seen = []
+    whole, ids_of, probes = bpe.Words.whole, bpe.Words.ids_of, bpe.PROBES
+    monkeypatch.setattr(bpe, "PROBES", ())
+    monkeypatch.setattr(bpe.Words, "whole", lambda self, w: seen.append(w) or whole(self, w))
+    monkeypatch.setattr(bpe.Words, "ids_of", lambda self, w: seen.append(w) or ids_of(self, w))
+    assert probes
+    texts = [(t or "").encode("utf-8", "replace") for t in cases.TEXTS] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(range(len(texts)), pa.int64())], names=["text", "doc_id"])
+    asked = [(p, k, x) for block in blocks.blocks(iter([batch]), ("doc_id",), 10) for p, k, x in bpe.ask(block, 3)]
+    assert len({w for t in texts for w in t.split()}) > 20
+    for part in range(3):
+        seen.clear()
+        rows = [blocks.batch_of([(part, 0, p, k, x)]) for p, k, x in asked if p == part and k == blocks.REQUEST]
+        assert len(rows) > 3
+        list(bpe.encoder(bpe.tokenizer_path())(iter(rows)))
+        assert len(seen) == len(set(seen)) > 0
+
+
+def test_a_long_text_is_joined_in_pieces(spark, plain):
+    text = " ".join(f"w{i % 977}x" for i in range(600_000))
+    got = bpe.digests(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).collect()
+    ids = plain.encode(text, add_special_tokens=False).ids
+    assert sorted(r.n_tokens for r in got) == [0, len(ids), len(ids)]
+    assert {r.ids_sha256 for r in got if r.doc_id == 1} == {sha(" ".join(map(str, ids)))}
+    assert {r.decoded_sha256 for r in got if r.doc_id == 1} == {sha(plain.decode(ids, skip_special_tokens=False))}
+
+
+def test_decode_of_awkward_ids(spark, plain):
+    rows = [(1, [320, 49407]), (1, [320, 49407]), (2, []), (3, None), (None, [320, 10**6])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    both = plain.decode([320, 49407], skip_special_tokens=False)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, both), (1, both), (2, ""), (3, ""), (None, plain.decode([320]) + " ")]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**40), max_size=50), st.lists(st.booleans(), max_size=9))
+def test_packing_round_trip(numbers, flags):
+    arrays = [np.array(numbers, np.int64), np.array(flags), np.array(numbers, np.float64), np.array([], np.uint16), blocks.small(np.array(numbers, np.int64))]
+    got = blocks.unpack(blocks.pack(*arrays))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, got, strict=True))
 
 
 @settings(max_examples=60, deadline=None)
