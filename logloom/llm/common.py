@@ -6,6 +6,7 @@ splits on exactly ``\\x20\\x09-\\x0D`` and ``bytes.translate`` lower-cases A-Z w
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +25,12 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 CHUNK = 256
+#: So many rows of keys are broadcast at most (counted first); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: So many keys count as frequent at most, and so many rows a frequent key has at least.
+FREQUENT_KEYS, FREQUENT_ROWS = 10_000, 100
+#: Columns that tell a row: its id and two independent hashes of its text, 96 bits together.
+ROW = ["row_id", "row_hash", "row_check"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +38,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; only where it is unset and the master is local (tests) a folder of our own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.logloom.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.logloom.checkpoint.dir", where)
     return where
@@ -96,3 +105,32 @@ def hot_threshold(counts: DataFrame, most: int) -> int:
             break
         least = n
     return least
+
+
+def row_columns():
+    """The columns of ``ROW`` for a table of documents. Rows that agree in them are the same document with the same text (null: empty)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.col("doc_id").alias("row_id"), F.xxhash64(text).alias("row_hash"), F.hash(text, F.length(text)).alias("row_check")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``ROW``, and the whole row as one column ``whole``, so that no column of the documents can clash."""
+    return docs.select(*row_columns(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
+
+def same_row(a: DataFrame, b: DataFrame):
+    """Whether rows of ``a`` and ``b`` agree in ``ROW``; null ids are equal."""
+    return (a["row_hash"] == b["row_hash"]) & (a["row_check"] == b["row_check"]) & a["row_id"].eqNullSafe(b["row_id"])
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key and in ``n`` the number of rows that ``left`` has of it.
+
+    A frequent key's rows stay where they are: no more than ``FREQUENT_KEYS`` keys can hold a ten-thousandth of the rows each, so
+    theirs are broadcast. The other keys are shuffled, none with more rows than that. Both sides are read twice (written tables).
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT_ROWS, total // FREQUENT_KEYS + 1)
+    frequent = F.broadcast(right.where(F.col("n") >= least).drop("n"))
+    rare = left.join(F.broadcast(right.where(F.col("n") >= least).select(key)), key, "left_anti").join(right.where(F.col("n") < least).drop("n"), key)
+    return left.join(frequent, key).unionByName(rare)

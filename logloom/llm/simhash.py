@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER, documents, id_and_bytes, per_row, written
+from logloom.llm.common import LOWER, documents, id_and_bytes, looked_up, per_row, written
 from logloom.llm.components import components
 
 SHINGLE, SEED, LIMIT, BITS, GROUP = 4, 42, 4, 64, 4
 #: Cost of a probe (a shuffled row, about 2 microseconds as measured) in candidates checked within a bucket.
 PROBE_COST = 25.0
-PRINTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("print", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -48,21 +48,21 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
         return 0
     hash_of = xxhash.xxh64_intdigest
     n = max(1, len(words) - size + 1)
+    return majority(n, (np.array([hash_of(b" ".join(words[i : i + size]), SEED) for i in range(at, min(n, at + (1 << 16)))], "<u8") for at in range(0, n, 1 << 16)))
+
+
+def majority(n: int, parts) -> int:
+    """The bits that over half of ``n`` hashes have, which come in ``parts``; no hashes have none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        some = [hash_of(b" ".join(words[i : i + size]), SEED) for i in range(at, min(n, at + (1 << 16)))]
-        ones += np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for some in parts:
+        ones += np.unpackbits(some.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, a key of the row's id and text, and the fingerprint."""
-    one = lambda doc_id, raw, row: (doc_id, row, fingerprint(raw, size))
-    return id_and_bytes(docs, row_key()).mapInArrow(per_row(one, ("doc_id", "text", "row"), PRINTS), "doc_id long, row long, print long")
-
-
-def row_key() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("row")
+    """doc_id and fingerprint of every row."""
+    one = lambda doc_id, raw: (doc_id, fingerprint(raw, size))
+    return id_and_bytes(docs).mapInArrow(per_row(one, ("doc_id", "text"), PRINTS), "doc_id long, print long")
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -198,13 +198,17 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def classes(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, row, print, root, and the smallest doc_id of its component."""
+    """Per row of ``docs``: doc_id, print, and the smallest doc_id of its component.
+
+    Fingerprints of many rows and families of many fingerprints are looked up without gathering their rows.
+    """
     prints = written(fingerprints(docs, size), "prints")
-    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = nodes.join(links(nodes.select("print"), limit).withColumnRenamed("node", "print"), "print", "left")
-    roots = written(roots.select("print", "first", F.coalesce("root", "print").alias("root")), "roots")
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(roots.join(least, "root").select("print", "root", "component_id"), "print")
+    roots = written(roots.select("print", "first", "n", F.coalesce("root", "print").alias("root")), "roots")
+    least = written(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "least")
+    named = written(looked_up(roots.select("print", F.col("n").alias("rows"), "root"), least, "root").select("print", "component_id", F.col("rows").alias("n")), "named")
+    return looked_up(prints, named, "print")
 
 
 def simhash(docs: DataFrame, limit: int = LIMIT, size: int = SHINGLE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, word string, part long, score double, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, word string, part long, score double, n string, cut_spans string, whole string, row_id long, row_hash long, row_check int, spans string, kept_row_key long, cut_row_key long, block long, print long"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -17,8 +17,8 @@ TEXTS = [
 
 
 def rows(texts=TEXTS):
-    out = [(i, t, "en" if i % 2 else None, f"s{i % 3}", 1, 7, "w", 3, 0.5, "n") for i, t in enumerate(texts)]
-    return out + [out[3 % len(out)], (None, "null id here", None, None, None, None, None, None, None, None)]
+    out = [(i, t, "en" if i % 2 else None, f"s{i % 3}", 1, 7, "w", 3, 0.5, "n", "c", "w", 1, 2, 3, "s", 4, 5, 6, 7) for i, t in enumerate(texts)]
+    return out + [out[3 % len(out)], (None, "null id here", *[None] * 18)]
 
 
 def frame(spark, texts=TEXTS):

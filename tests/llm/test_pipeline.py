@@ -1,12 +1,13 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logloom.llm import bpe
+from logloom.llm import bpe, secrets
 from logloom.llm.secrets import without
-from tests.llm import cases, test_quality, test_simhash
+from tests.llm import cases, test_near_copies, test_quality, test_simhash
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_secrets import want as base_secrets
 
@@ -17,23 +18,7 @@ TEXTS = [*test_quality.TEXTS, *test_simhash.near_copies(80), GOOD, GOOD, GOOD +
 
 def brute(rows):
     rows = [r for r in rows if test_quality.brute(r[1])[-1]]
-    classes = dict(zip(range(len(rows)), test_simhash.slow_classes(rows), strict=True)) if rows else {}
-    del classes
-    prints = [test_simhash.slow_print(r[1]) for r in rows]
-    seen, kept = [None] * len(rows), []
-    for i in range(len(rows)):
-        if seen[i] is None:
-            todo, group = [i], {i}
-            while todo:
-                x = todo.pop()
-                for j in range(len(rows)):
-                    if j not in group and (prints[x] ^ prints[j]).bit_count() <= 4:
-                        group.add(j)
-                        todo.append(j)
-            for j in group:
-                seen[j] = i
-            kept.append(min(group, key=lambda j: (rows[j][0] is None, rows[j][0] or 0)))
-    rows = [rows[i] for i in kept]
+    rows = [rows[i] for i in test_near_copies.slow_representatives(rows)]
     rows = [r for r in rows if leaks([r], ITEMS)[0].endswith("False)")]
     t = Tokenizer.from_file(bpe.tokenizer_path())
     out = []
@@ -61,7 +46,9 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
 
-def test_redaction_keeps_rows_and_counts_characters(spark, tmp_path):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_redaction_keeps_rows_and_counts_characters(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
     docs = cases.frame(spark, TEXTS)
     out = corpus_pipeline.secrets_stage(spark, docs, str(tmp_path))
     assert out.count() == docs.count()

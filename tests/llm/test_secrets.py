@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -41,14 +43,52 @@ def test_base_equals_brute_force(spark):
 @given(st.lists(st.sampled_from(["token", "PASSWD", "api_key", "apikey", "=", ":", " ", "'", '"', "abcdefghijkl", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMN", "é", "\n", "x"]), max_size=14))
 def test_scan_of_random_text(parts):
     text = "".join(parts)
-    assert S.scan_row(1, text.encode(), 0, "", "")[4:8] == want(text)[0]
+    assert S.scan_row(1, text.encode(), 0, 0, "", "")[5:9] == want(text)[0]
+
+
+def slow_spans(rows, owners, repos):
+    """All spans by two plain passes: candidates of every row, then the verdict on each value."""
+    key, found = re.compile(r"[A-Za-z0-9+/_-]{20,}"), []
+    for _, text, _, source, *_ in rows:
+        base = slow_base(text)
+        more = [(m.start(), 3, m.end()) for m in key.finditer(text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        more = [m for m in more if all(b[2] <= m[0] or m[2] <= b[0] for b in base)]
+        values = [S.ASSIGN.search(text[a:b].encode())[2].decode() if k == 0 else text[a:b] for a, k, b in [*base, *more]]
+        found.append(([*base, *more], values, source or "", text))
+    where = {}
+    for _, values, source, text in found:
+        for v in values:
+            where.setdefault(v, set()).add((source, text))
+    out = []
+    for spans, values, _, _ in found:
+        kept = []
+        for (a, k, b), v in zip(spans, values, strict=True):
+            share = [v.count(c) / len(v) for c in set(v)]
+            live = -sum(p * math.log2(p) for p in share) >= 3 and re.search("[0-9]", v) and not any(p.decode() in v.lower() for p in S.PLACEHOLDERS)
+            copied = len({s for s, _ in where[v]}) >= owners or len({t for _, t in where[v]}) >= repos
+            if k < 3 or live and not copied:
+                kept.append((a, k, b))
+        out.append(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(kept)))
+    return out
+
+
+def test_spans_equal_two_plain_passes(spark):
+    rnd = random.Random(9)
+    keys = ["".join(rnd.choice("abcdefghABCDEFGH0123456789+/_-") for _ in range(rnd.randint(18, 30))) for _ in range(12)]
+    texts = [*TEXTS, *(f"t{i} {rnd.choice(keys[: 2 + i % 11])} é, {rnd.choice(keys)} token={rnd.choice(keys)}" for i in range(60))]
+    for owners, repos in ((3, 50), (99, 5), (2, 99)):
+        got = S.secrets(cases.frame(spark, texts), owners=owners, repos=repos).collect()
+        rows = cases.rows(texts)
+        assert sorted(str((r.doc_id, r.spans)) for r in got) == sorted(str((r[0], s)) for r, s in zip(rows, slow_spans(rows, owners, repos), strict=True))
 
 
 def test_ownership_separates_copies_from_live_keys(spark):
     rows = [(1, f"a {LIVE}", "o1", "en"), (2, f"b {LIVE}", "o1", "de"), *((10 + i, "copied Kp7Ty2Wq9Xz4Lm8Vb3Nd", f"o{i}", "en") for i in range(5)), (30, "thequickbrownfoxjumpsover1", "o1", "en")]
+    rows += [(100 + i, f"paste {i} Hq3Zt8Wn5Rk2Yb7Lc4Vd", "o1", "en") for i in range(S.COPIED_REPOS)]  # one owner, many texts
+    rows += [(300 + i, "backup Bq3Zt8Wn5Rk2Yb7Lc4Vx", "o1", "en") for i in range(S.COPIED_REPOS)]  # copies of one text
     got = {r.doc_id: r for r in S.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
     assert got[1].spans == "key:2:22" and got[2].spans == "key:2:22" and got[1].n_specific == 1
-    assert all(got[10 + i].spans == "" for i in range(5))
+    assert all(got[10 + i].spans == "" for i in range(5)) and got[100].spans == "" and got[300].spans == "key:7:27"
 
 
 def test_empty(spark):
