@@ -143,7 +143,11 @@ class Lattice:
 
 
 def letters(raw: bytes) -> list[str]:
-    return WORD.findall(raw.decode("utf-8", "replace").lower())
+    """Runs of letters (Unicode category L), lower-cased. Numbers such as ½, ² or Ⅷ are no letters."""
+    words = WORD.findall(raw.decode("utf-8", "replace").lower())
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
 
 
 def sample(docs: DataFrame, each: int) -> tuple[DataFrame | None, dict[str, int]]:

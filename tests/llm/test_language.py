@@ -75,6 +75,60 @@ def test_held_out_accuracy(spark):
     assert sum(got[i].lang_pred == x for i, _, x in rows if got[i].held_out) / sum(r.held_out for r in got.values()) > 0.97
 
 
+def test_only_letters_are_words():
+    for text in ("½ ²", "①② Ⅷ", "x² + y½z", "héllo_wörld 3rd", "", "٣ ३", "ﬁ ℌ ⅷa"):
+        got = L.letters(text.encode())
+        assert "".join(got) == "".join(c for c in text.lower() if c.isalpha()) and all(w.isalpha() for w in got)
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    rows = [(i, "ein haus", "de") for i in range(30)] + [(100, "½ ²", "de"), (101, "①②", None), (102, "12 Ⅷ", None), (103, "²a", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103][0] == "de"
+
+
+def test_the_whole_query_equals_a_plain_version(spark, lattice):
+    """Fold, priors, three rounds of expectation-maximisation over every segmentation, argmax and posterior."""
+    import random
+
+    rnd = random.Random(7)
+    vocab = {"en": "the of and in to".split(), "de": "der die und in zu".split(), "fr": "le la et en au".split()}
+    rows = [(i, " ".join(rnd.choice(vocab[x]) for _ in range(rnd.randint(1, 4))), x if i % 11 else None) for i, x in enumerate(rnd.choices(sorted(vocab), [3, 2, 1], k=90))]
+    train = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    langs = sorted({r[2] for r in train})
+
+    def ways(s, i=0):
+        if i == len(s):
+            yield []
+        for j in range(i + 1, len(s) + 1):
+            p = lattice.pieces.get(s[i:j], lattice.size - 1 if j == i + 1 else None)
+            if p is not None:
+                yield from ([p, *rest] for rest in ways(s, j))
+
+    segmentations = {w: list(ways(L.MARK + w)) for words in vocab.values() for w in words}
+    probs = np.full((lattice.size, len(langs)), 1 / lattice.size)
+    probs[-1] = L.UNKNOWN
+    for _ in range(L.STEPS):
+        total = np.zeros_like(probs)
+        for _, text, lang in train:
+            k = langs.index(lang)
+            for w in text.split():
+                chance = [math.prod(probs[p, k] for p in way) for way in segmentations[w]]
+                for way, c in zip(segmentations[w], chance, strict=True):
+                    for p in way:
+                        total[p, k] += c / sum(chance)
+        total[-1] = 0
+        probs = (1 - L.FLOOR) * total / total.sum(0) + L.FLOOR / lattice.size
+        probs[-1] = L.UNKNOWN
+    want = {}
+    for i, text, _ in rows:
+        logs = [math.log(sum(r[2] == x for r in train) / len(train)) + sum(math.log(sum(math.prod(probs[p, k] for p in way) for way in segmentations[w])) for w in text.split()) for k, x in enumerate(langs)]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        want[i] = (langs[best], round(1 / sum(math.exp(x - logs[best]) for x in logs), 6))
+    got = L.language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in got} == want
+
+
 def test_awkward_tables(spark):
     got = L.language(cases.frame(spark)).collect()
     assert len(got) == len(cases.rows())
