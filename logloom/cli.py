@@ -66,7 +66,10 @@ def run_match(spark: SparkSession, a: argparse.Namespace) -> int:
     if templates.isEmpty():
         print("Error: no templates found")
         return 1
-    lines = matching.non_blank(parsed(matching.sample_lines(files.read_log(spark, a.input), a.sample_lines)))
+    log = files.read_log(spark, a.input)
+    if len(spark.read.text(a.input).inputFiles()) == 1:
+        log = log.drop("file")  # the line's number says it all
+    lines = matching.non_blank(parsed(matching.sample_lines(log, a.sample_lines)))
     lines = matching.level_filter(lines, a.level_filter).drop("value")
     if a.best_only or a.format == "summary":
         found = matching.best_matches(lines, templates, a.threshold)

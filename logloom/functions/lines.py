@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from logloom.functions.text import col, strip
 
 #: The header formats. Groups in the order given beside them.
-STAMP_T = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^\s]*"
-STAMP = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[^\s]*"
-THREAD = r"(?:\[([^\]]+)\])?"
 FORMATS: tuple[tuple[str, tuple[str, ...]], ...] = (
-    (rf"^({STAMP_T})\s+(\w+)\s+{THREAD}\s*([^\s-]+)?\s*-?\s*(.+)$", ("timestamp", "level", "thread", "logger", "message")),
-    (rf"^({STAMP})\s+(\w+)\s+{THREAD}\s*([^\s:]+)?:?\s*(.+)$", ("timestamp", "level", "thread", "logger", "message")),
+    (r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^\s]*)\s+(\w+)\s+(?:\[([^\]]+)\])?\s*([^\s-]+)?\s*-?\s*(.+)$", ("timestamp", "level", "thread", "logger", "message")),
+    (r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[^\s]*)\s+(\w+)\s+(?:\[([^\]]+)\])?\s*([^\s:]+)?:?\s*(.+)$", ("timestamp", "level", "thread", "logger", "message")),
     (r"^(\w+):\s*(.+)$", ("level", "message")),
-    (rf"^(\w+)\s+({STAMP})\s+{THREAD}\s*([^\s-]+)?\s*-?\s*(.+)$", ("level", "timestamp", "thread", "logger", "message")),
+    (r"^(\w+)\s+(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[^\s]*)\s+(?:\[([^\]]+)\])?\s*([^\s-]+)?\s*-?\s*(.+)$", ("level", "timestamp", "thread", "logger", "message")),
 )
 FIELDS = ("timestamp", "level", "thread", "logger", "message")
 #: Unicode classes, and only \n ends a line.
@@ -23,18 +20,6 @@ FLAGS = "(?Ud)"
 MARK = "\u0001"
 
 
-def parse_line(line: Column | str) -> Column:
-    """struct(timestamp, level, thread, logger, message); fields that a format lacks are null, as are all of a blank line."""
-    text = strip(line)
-    empty = F.lit(None).cast("string")
-    out = F.when(F.coalesce(text, F.lit("")) == "", F.struct(*[empty.alias(f) for f in FIELDS]))
-    for pattern, groups in FORMATS:
-        get = lambda f, p=FLAGS + pattern, g=groups: F.nullif(F.regexp_extract(text, p, g.index(f) + 1), F.lit("")) if f in g else empty
-        out = out.when(text.rlike(FLAGS + pattern), F.struct(*[get(f).alias(f) for f in FIELDS]))
-    whole = F.struct(*[(text if f == "message" else empty).alias(f) for f in FIELDS])
-    return out.otherwise(whole)
-
-
 def header_split(line: Column | str) -> Column:
     """The simple header rule: date, time, level and the rest; a shorter line is all message."""
     parts = F.split(strip(line), r"(?U)[\s\x1C-\x1F]+", 4)
@@ -45,7 +30,8 @@ def header_split(line: Column | str) -> Column:
 
 
 def parsed(lines, column: str = "value"):
-    """The rows of ``lines`` with the five fields as columns; the same as ``parse_line`` with fewer regular expressions a row.
+    """The rows of ``lines`` with the five fields as columns: timestamp, level, thread, logger and message; fields that a format
+    lacks are null, as are all of a blank line.
 
     The format is found first, then one replacement with that format's regex writes the groups between marks (U+0001) and one split
     gives them. Lines that hold the mark themselves take the groups one by one.

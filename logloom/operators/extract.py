@@ -36,7 +36,7 @@ METHODS, MORE_METHODS = ("trace", "debug", "info", "warn", "error", "log"), ("fa
 
 
 def java_facts(files: DataFrame) -> DataFrame:
-    """``files``: path and content (binary or text)."""
+    """``files``: path and content (binary or text). Files are dealt by path first, as one split of the input may hold very many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,7 +50,8 @@ def java_facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "error", "calls", "scopes", "stmts", "params", "fields"])
 
     ensure_importable(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, FACTS)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "content").repartition(tasks, "path").mapInPandas(run, FACTS)
 
 
 def cached_facts(files: DataFrame, cache: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A full match must agree with a template's first two tokens, its first, or its last, if those are static. So every template has one anchor
 key, every line has four possible ones, and the candidates come from one broadcast hash join on the key; only templates
-with holes at both ends are tried on every line. Candidates are verified by the template's regular expression.
+with holes at both ends are tried on every line. Candidates are verified by the template's regular expression. The best match is chosen within the line's row, so lines are not shuffled.
 
 The template side is broadcast while it has at most ``BROADCAST_TEMPLATES`` different patterns (checked); beyond that the same join is
 shuffled by key, where adaptive execution splits a hot key.
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from logloom.functions.text import confidence, strip, tokens
 from logloom.operators.templates import build, patterns
-from logloom.schema import Options
+from logloom.schema import Options, line_key
 
 BROADCAST_TEMPLATES = 100_000
 
@@ -73,13 +73,17 @@ def scored(found: DataFrame) -> DataFrame:
 def best_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0, use_level: bool = True, options: Options = Options(), keep: str = "left") -> DataFrame:
     """Every line with its best match, or nulls: most static tokens, then confidence, then first derivation, then insertion.
 
-    One shuffle by line, of rows already reduced to the best of their task. ``lines`` needs ``message`` and ``line_number``, unique (within
-    its ``file``, if that is a column).
+    While the patterns are few enough to be broadcast (counted), lines stay where they are: each anchor's patterns are one row, four
+    look-ups bring a line its candidates, and the best is chosen within the row. Beyond that candidates are joined by a shuffle and
+    reduced by line. ``lines`` needs ``message`` and ``line_number``, unique (within its ``file``, if that is a column).
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
     built = build(templates, options)
-    side = template_side(patterns(built))
+    folded = patterns(built)
+    if folded.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        return chosen(prepared(lines), folded, lines.columns, threshold, use_level and "level" in lines.columns, most_holes(built))
+    side = folded
     own = lines.columns
     found = scored(candidates(prepared(lines), side, keep, use_level)).withColumn("values", captures(most_holes(built)))
     rank = F.struct(
@@ -94,6 +98,43 @@ def best_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
     return best.select("line.*", "best.match.*")
 
 
+CANDIDATE = ("pattern", "static_token_count", "level", "p", "holes", "regex", "kinds", "hole_at", "template_id", "location", "branch_variant", "ins_idx")
+
+
+def chosen(lines: DataFrame, folded: DataFrame, own: list[str], threshold: float, use_level: bool, holes: int) -> DataFrame:
+    """Best matches without a shuffle of ``lines``: candidates come as arrays, by anchor."""
+    anchors = F.broadcast(folded.groupBy("key").agg(F.collect_list(F.struct(*CANDIDATE)).alias("found")))
+    none = F.array().cast(anchors.schema["found"].dataType)
+    for k in range(4):
+        side = anchors.select(F.col("key").alias("anchor"), F.col("found").alias(f"found_{k}"))
+        lines = lines.join(side, F.get("keys", F.lit(k)) == F.col("anchor"), "left").drop("anchor")
+    lines = lines.withColumn("found", F.concat(*[F.coalesce(f"found_{k}", none) for k in range(4)]))
+
+    def fits(c: Column) -> Column:
+        test = (F.col("n") >= c["p"]) & F.regexp_like("norm", c["regex"]) & (score(c) >= threshold)
+        return test & level_passes(F.col("level"), c["level"]) if use_level else test
+
+    def score(c: Column) -> Column:
+        return confidence(c["static_token_count"], F.col("n"), c["p"], c["holes"])
+
+    def values(c: Column) -> Column:
+        if not holes:
+            return F.array().cast("array<string>")
+        got = [F.when(c["holes"] >= i, F.call_function("regexp_extract", F.col("norm"), c["regex"], F.lit(i))) for i in range(1, holes + 1)]
+        return F.slice(F.array(*got), F.lit(1), c["holes"])
+
+    def rank(x: Column) -> Column:
+        c, taken = x["c"], x["values"]
+        width = lambda h: F.size(F.split(F.get(taken, h), " "))
+        steps = F.zip_with(c["kinds"], c["hole_at"], lambda k, h: F.when(k == 2, 1 + width(h)).otherwise(k))
+        match = F.struct(c["template_id"].alias("template_id"), score(c).alias("confidence"), c["pattern"].alias("pattern"), c["static_token_count"].alias("static_token_count"),
+            c["level"].alias("template_level"), taken.alias("values"), c["location"].alias("location"), c["branch_variant"].alias("branch_variant"))
+        return F.struct((-c["static_token_count"]).alias("a"), (-score(c)).alias("b"), steps.alias("c"), c["ins_idx"].alias("d"), match.alias("match"))
+
+    good = F.transform(F.filter("found", fits), lambda c: F.struct(c.alias("c"), values(c).alias("values")))
+    return lines.select(*own, F.array_min(F.transform(good, rank)).alias("best")).select(*own, "best.match.*")
+
+
 def all_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0, use_level: bool = True, options: Options = Options()) -> DataFrame:
     """Every derivation of every template for every line, with its rank within the line (from 1); lines without any are left out.
 
@@ -123,7 +164,7 @@ def all_matches(lines: DataFrame, templates: DataFrame, threshold: float = 0.0,
         state = state.withColumns({"values": F.concat("values", taken), "step_key": F.concat("step_key", step)}).withColumn("pos", F.col("pos") + F.col("len")).drop("len")
     done = state if options.allow_trailing else state.where("pos = n")
     order = F.struct((-F.col("static_token_count")).alias("a"), (-F.col("confidence")).alias("b"), F.col("step_key").alias("c"), F.col("ins_idx").alias("d"))
-    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy(*[c for c in ("file", "line_number") if c in own]).orderBy(order)))
+    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy(*line_key(lines)).orderBy(order)))
     return ranked.select(*own, "rank", "template_id", "confidence", "pattern", "static_token_count", F.col("t_level").alias("template_level"), "values", "location", "branch_variant")
 
 
@@ -133,7 +174,7 @@ def captured(token: Column, pattern: Column):
 
 def unmatched(lines: DataFrame, matches: DataFrame) -> DataFrame:
     """Lines without a match."""
-    key = [c for c in ("file", "line_number") if c in lines.columns and c in matches.columns]
+    key = line_key(lines)
     return lines.join(matches.where("template_id is not null").select(*key), key, "left_anti")
 
 

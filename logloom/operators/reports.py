@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.schema import line_key
+
 #: Sizes of the reports.
 KEPT_SAMPLES, SHOWN_SAMPLES, TOP, SAMPLE_CHARS = 100, 20, 10, 200
 
@@ -13,9 +15,13 @@ def matched() -> Column:
     return F.col("template_id").isNotNull()
 
 
+def line(matches: DataFrame) -> Column:
+    return F.struct(*line_key(matches))
+
+
 def summary(matches: DataFrame) -> DataFrame:
     """One row: lines, matched and unmatched lines, match rate in percent, rows, templates used. Lines count once, however many matches they have."""
-    per = matches.groupBy("line_number").agg(F.max(matched()).alias("hit"), F.count("*").alias("rows"), F.collect_set("template_id").alias("ids"))
+    per = matches.groupBy(*line_key(matches)).agg(F.max(matched()).alias("hit"), F.count("*").alias("rows"), F.collect_set("template_id").alias("ids"))
     used = matches.agg(F.count_distinct("template_id").alias("unique_templates_used"))
     total, hit = F.count("*"), F.count_if("hit")
     head = per.agg(total.alias("total_lines"), hit.alias("matched_lines"), (total - hit).alias("unmatched_lines"),
@@ -25,7 +31,7 @@ def summary(matches: DataFrame) -> DataFrame:
 
 def level_distribution(matches: DataFrame) -> DataFrame:
     """Lower-cased level, lines and percent of the lines that have a level; in order of level."""
-    counts = matches.where("level is not null and level <> ''").groupBy(F.lower("level").alias("level")).agg(F.count_distinct("line_number").alias("lines"))
+    counts = matches.where("level is not null and level <> ''").groupBy(F.lower("level").alias("level")).agg(F.count_distinct(line(matches)).alias("lines"))
     return with_percent(counts, "lines").orderBy("level")
 
 
@@ -36,14 +42,16 @@ def with_percent(counts: DataFrame, column: str) -> DataFrame:
 
 
 def top_templates(matches: DataFrame, n: int = TOP) -> DataFrame:
-    used = matches.where(matched()).groupBy("template_id").agg(F.count("*").alias("uses"), F.min("line_number").alias("first_line"))
-    return used.orderBy(F.desc("uses"), "first_line", "template_id").limit(n)
+    """The templates used most; ties go to the one used first (in order of file, if there are several, and line)."""
+    used = matches.where(matched()).groupBy("template_id").agg(F.count("*").alias("uses"), F.min(line(matches)).alias("first"))
+    more = [F.col("first.file").alias("first_file")] if "file" in matches.columns else []
+    return used.orderBy(F.desc("uses"), "first", "template_id").limit(n).select("template_id", "uses", *more, F.col("first.line_number").alias("first_line"))
 
 
 def unmatched_samples(matches: DataFrame, n: int = SHOWN_SAMPLES) -> DataFrame:
     """The first unmatched messages, cut to 200 characters."""
     cut = F.substring("message", 1, SAMPLE_CHARS).alias("sample")
-    return matches.where(~matched()).select("line_number", cut).orderBy("line_number").limit(min(n, KEPT_SAMPLES))
+    return matches.where(~matched()).select(*line_key(matches), cut).orderBy(*line_key(matches)).limit(min(n, KEPT_SAMPLES))
 
 
 def template_totals(templates: DataFrame) -> DataFrame:
@@ -74,4 +82,4 @@ def top_files(templates: DataFrame, n: int = TOP) -> DataFrame:
 
 def by_level_and_template(matches: DataFrame) -> DataFrame:
     """Roll-up of lines by level and template."""
-    return matches.rollup(F.lower("level").alias("level"), "template_id").agg(F.count_distinct("line_number").alias("lines"))
+    return matches.rollup(F.lower("level").alias("level"), "template_id").agg(F.count_distinct(line(matches)).alias("lines"))

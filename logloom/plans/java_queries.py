@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions import text
 from logloom.operators import extract as X
 from logloom.plans.rendered import table
 from logloom.schema import Options
+from logloom.sources.files import good_templates
 
 HEAD = "'public class P' || CAST(p_partkey AS STRING) || ' {' || chr(10) || '    private static final String FIXED = \"Fixed ' || p_brand || '\";' || chr(10) || '    public void work(String name, int size, String message) {' || chr(10) || "
 BODIES = (
@@ -111,9 +113,70 @@ def class_constants(spark, sf_dir):
     return X.relation(X.java_facts(files(spark, sf_dir)), "fields").where("constant").select("path", "name", "pattern")
 
 
-@query("extraction_errors", "SELECT '' AS path, '' AS error WHERE false")
+# Further shapes: builders, lambdas, nested classes, method calls, concatenated format strings, two statements on a line -------------------
+MORE_BODIES = (
+    "'        log.info(new StringBuilder(\"Stock of \").append(name).append(\" at ' || p_brand || '\").toString());' || chr(10)",
+    "'        run(() -> {' || chr(10) || '            String q = \"lambda ' || p_brand || '\";' || chr(10) || '            log.info(q);' || chr(10) || '        });' || chr(10)",
+    "'        log.warn(\"outer {} ' || p_brand || '\", name);' || chr(10) || '    }' || chr(10) || '    class Inner {' || chr(10) || '        void go(int n) {' || chr(10) || '            log.warn(\"inner {} ' || p_brand || '\", n);' || chr(10) || '        }' || chr(10)",
+    "'        log.debug(name.trim());' || chr(10) || '        String t = helper(size);' || chr(10) || '        log.error(t);' || chr(10)",
+    "'        String m = String.format(\"Part %s \" + \"kept %d days by \" + \"' || p_brand || '\", name, size);' || chr(10) || '        log.info(m);' || chr(10)",
+    "'        String a = \"one ' || p_brand || '\"; String b = \"two ' || p_brand || '\";' || chr(10) || '        log.info(b);' || chr(10) || '        log.info(a);' || chr(10)",
+)
+MORE_SOURCE = HEAD + "CASE CAST(p_partkey % 6 AS INTEGER) " + " ".join(f"WHEN {k} THEN {b}" for k, b in enumerate(MORE_BODIES)) + " END || '    }' || chr(10) || '}' || chr(10)"
+#: shape, pattern, line, level, class, method.
+MORE_EXPECTED = (
+    (0, "'Stock of <*> at ' || p_brand", 4, "info", None, "work"),
+    (1, "'lambda ' || p_brand", 6, "unknown", None, "work"),
+    (2, "'outer <*> ' || p_brand", 4, "warn", None, "work"),
+    (2, "'inner <*> ' || p_brand", 8, "warn", "Inner", "go"),
+    (3, "'<method:trim()>'", 4, "debug", None, "work"),
+    (3, "'<method:helper()>'", 6, "unknown", None, "work"),
+    (4, "'Part <*> kept <*> days by ' || p_brand", 5, "unknown", None, "work"),
+    (5, "'two ' || p_brand", 5, "unknown", None, "work"),
+    (5, "'<*>'", 6, "unknown", None, "work"),
+)
+
+
+def more_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr(PATH).alias("path"), F.expr(MORE_SOURCE.replace("chr(10)", "char(10)")).alias("content"))
+
+
+def more_expected() -> str:
+    own = "'P' || CAST(p_partkey AS STRING)"
+    parts = [f"SELECT {PATH} AS file_path, {own if c is None else repr(c)} AS class_name, '{m}' AS method_name, {p} AS pattern, {n} AS line_number, '{level}' AS level FROM part WHERE p_partkey % 6 = {k}" for k, p, n, level, c, m in MORE_EXPECTED]
+    return " UNION ALL ".join(parts)
+
+
+@query("extract_more_shapes", more_expected())
+def extract_more_shapes(spark, sf_dir):
+    return flat(X.extract_templates(more_files(spark, sf_dir))).select("file_path", "class_name", "method_name", "pattern", "line_number", "level")
+
+
+@query("builder_rule", f"SELECT {PATH} AS path, 'Stock of  <*>  at ' || p_brand AS pattern FROM part WHERE p_partkey % 6 = 0")
+def builder_rule(spark, sf_dir):
+    return X.builder_rule(X.all_calls(X.java_facts(more_files(spark, sf_dir)))).select("path", "pattern")
+
+
+@query("extraction_errors", f"SELECT {PATH} AS path, 'UnicodeDecodeError' AS error FROM part WHERE p_partkey % 7 = 0")
 def extraction_errors(spark, sf_dir):
-    return X.errors(X.java_facts(files(spark, sf_dir)))
+    """Every seventh file is no UTF-8: an error row for it, none for the others, whose templates are not harmed."""
+    bad = files(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.expr(PATH).alias("path"), "p_partkey"), "path")
+    bytes_of = F.when(F.col("p_partkey") % 7 == 0, F.lit(bytearray(b"\xff\xfe\x00class"))).otherwise(F.col("content").cast("binary"))
+    return X.errors(X.java_facts(bad.select("path", bytes_of.alias("content")))).select("path", F.split("error", ":")[0].alias("error"))
+
+
+@query("template_rows", f"SELECT 'x' || p_partkey AS template_id, 'Part <*> ' || p_brand AS pattern, {PATH} AS file_path, CAST(p_size AS INTEGER) AS line_number, 'info' AS level, 0 AS branch_variant FROM part WHERE p_partkey % 5 NOT IN (0, 1, 2)")
+def template_rows(spark, sf_dir):
+    """JSON lines with blank, broken and mistyped rows among them: the good ones are read."""
+    row = F.to_json(F.struct(F.expr("concat('x', p_partkey)").alias("template_id"), F.expr("concat('Part <*> ', p_brand)").alias("pattern"), F.lit(2).alias("static_token_count"),
+        F.struct(F.expr(PATH).alias("file_path"), F.col("p_size").alias("line_number")).alias("location"), F.when(F.col("p_partkey") % 5 == 2, "loud").otherwise("info").alias("level")))
+    lines = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 5 == 0, " ").when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("{"), row)).otherwise(row).alias("value"))
+    return good_templates(lines).select("template_id", "pattern", "location.file_path", "location.line_number", "level", "branch_variant")
+
+
+@query("display_texts", f"SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 10) || '...' ELSE p_name END AS cut, regexp_extract({PATH}, '[^/]*$') AS name FROM part")
+def display_texts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.shortened("p_name", 10).alias("cut"), text.basename(F.expr(PATH)).alias("name"))
 
 
 # Slicing on facts that are given as a table: definitions and uses from lineitem ------------------------------------------------------

@@ -61,17 +61,9 @@ best AS (SELECT l.line_number, l."timestamp", l.level, l.logger, l.message, r.te
 """
 
 
-ALL = f"""WITH RECURSIVE {PARSED}, {TOKENS}, {NORM}, tmpl AS (SELECT *, string_split(pattern, ' ') AS tt FROM {duck_templates()}),
-st AS (SELECT n.line_number, t.template_id, 0 AS i, 0 AS pos, CAST([] AS INTEGER[]) AS ky, CAST([] AS VARCHAR[]) AS caps, n.tk, n.n, t.tt, t.p
-  FROM norm n JOIN tmpl t ON {LEVEL} AND n.n >= t.p AND t.template_id <> 't6'
-  UNION ALL
-  SELECT s.line_number, s.template_id, s.i + 1, s.pos + w.len, list_append(s.ky, CASE WHEN s.tt[s.i + 1] = '<*>' THEN CAST(1 + w.len AS INTEGER) ELSE 0 END),
-    CASE WHEN s.tt[s.i + 1] = '<*>' THEN list_append(s.caps, array_to_string(s.tk[s.pos + 1:s.pos + w.len], ' ')) ELSE s.caps END, s.tk, s.n, s.tt, s.p
-  FROM st s JOIN (SELECT unnest(range(1, 40)) AS len) w ON s.i < s.p AND (CASE WHEN s.tt[s.i + 1] = '<*>' THEN s.pos + w.len + (s.p - s.i - 1) <= s.n ELSE w.len = 1 AND s.tk[s.pos + 1] = s.tt[s.i + 1] END))
-"""
-#: As ``ALL``, over all templates: with a step for a token that has a hole within (at most one, as in t6).
+#: Derivations token by token. A token may have one hole within (as in t6).
 IN_TOKEN = r"'^' || replace(regexp_replace(replace(s.tt[s.i + 1], '<*>', chr(1)), '([^\w' || chr(1) || '])', '\\\1', 'g'), chr(1), '(\S+?)') || '$'"
-EVERY = f"""WITH RECURSIVE {PARSED}, {TOKENS}, {NORM}, tmpl AS (SELECT *, string_split(pattern, ' ') AS tt FROM {duck_templates()}),
+ALL = f"""WITH RECURSIVE {PARSED}, {TOKENS}, {NORM}, tmpl AS (SELECT *, string_split(pattern, ' ') AS tt FROM {duck_templates()}),
 st AS (SELECT n.line_number, t.template_id, 0 AS i, 0 AS pos, CAST([] AS INTEGER[]) AS ky, CAST([] AS VARCHAR[]) AS caps, n.tk, n.n, t.tt, t.p
   FROM norm n JOIN tmpl t ON {LEVEL} AND n.n >= t.p
   UNION ALL
@@ -147,14 +139,11 @@ def best_match_sample_lines(spark, sf_dir):
     return flat(matching.best_matches(matching.sample_lines(wanted(spark, sf_dir), 500), inline(spark)))
 
 
-@query("all_matches", ALL + "SELECT s.line_number, s.template_id, array_to_string(s.caps, ' | ') AS extracted, " + CONF + " AS confidence, CAST(row_number() OVER (PARTITION BY s.line_number ORDER BY t.static DESC, " + CONF + " DESC, s.ky, t.ins_idx) AS INTEGER) AS rank FROM st s JOIN tmpl t USING (template_id) JOIN norm n USING (line_number) WHERE s.i = s.p AND s.pos = s.n")
-def all_matches(spark, sf_dir):
-    found = matching.all_matches(wanted(spark, sf_dir), inline(spark).where("template_id <> 't6'"))
-    return found.select("line_number", "template_id", F.array_join("values", " | ").alias("extracted"), "confidence", "rank")
+DERIVED = ALL + "SELECT s.line_number, s.template_id, array_to_string(s.caps, ' | ') AS extracted, " + CONF + RANKED
 
 
-@query("all_matches_every_template", EVERY + "SELECT s.line_number, s.template_id, array_to_string(s.caps, ' | ') AS extracted, " + CONF + RANKED)
-def all_matches_every_template(spark, sf_dir):
+@query("all_matches", DERIVED)
+def all_matches(spark, sf_dir):
     found = matching.all_matches(wanted(spark, sf_dir), inline(spark))
     return found.select("line_number", "template_id", F.array_join("values", " | ").alias("extracted"), "confidence", "rank")
 
@@ -204,12 +193,16 @@ def level_template_rollup(spark, sf_dir):
     return reports.by_level_and_template(best(spark, sf_dir).where("template_id is not null"))
 
 
-@query("csv_rows", duck_best() + "SELECT line_number, coalesce(\"timestamp\", '') AS \"timestamp\", coalesce(level, '') AS level, coalesce(logger, '') AS logger, message, coalesce(template_id, '') AS template_id, coalesce(pattern, '') AS pattern, coalesce(extracted, '') AS extracted_values, coalesce(file_path, '') AS source_file, coalesce(CAST(src_line AS VARCHAR), '') AS source_line FROM best")
+@query("csv_rows", duck_best() + "SELECT line_number, coalesce(\"timestamp\", '') AS \"timestamp\", coalesce(level, '') AS level, coalesce(logger, '') AS logger, message, coalesce(template_id, '') AS template_id, coalesce(format('{:.3f}', confidence), '') AS confidence, coalesce(pattern, '') AS pattern, coalesce(extracted, '') AS extracted_values, coalesce(file_path, '') AS source_file, coalesce(CAST(src_line AS VARCHAR), '') AS source_line FROM best")
 def csv_rows(spark, sf_dir):
-    return sinks.csv_rows(best(spark, sf_dir)).drop("confidence")
+    return sinks.csv_rows(best(spark, sf_dir))
+
+
+ONE = "to_json({'template_id': s.template_id, 'confidence': " + CONF + ", 'pattern': t.pattern, 'extracted_values': s.caps, 'source_location': {'file': t.file_path, 'line': t.src_line, 'class': t.class_name, 'method': t.method_name}})"
+LINE = """'{"line_number":' || n.line_number || ',"timestamp":' || coalesce(CAST(to_json(n."timestamp") AS VARCHAR), 'null') || ',"level":' || coalesce(CAST(to_json(n.level) AS VARCHAR), 'null') || ',"logger":' || coalesce(CAST(to_json(n.logger) AS VARCHAR), 'null') || ',"message":' || CAST(to_json(n.message) AS VARCHAR) || ',"matches":[' || coalesce(f.found, '') || ']}'"""
 
 
-@query("json_rows")
+@query("json_rows", ALL + f", found AS (SELECT line_number, string_agg(CAST(one AS VARCHAR), ',' ORDER BY rank) AS found FROM (SELECT s.line_number, {ONE} AS one, {CONF}{RANKED}) r GROUP BY 1) SELECT n.line_number, {LINE} AS value FROM norm n LEFT JOIN found f USING (line_number)")
 def json_rows(spark, sf_dir):
     found = matching.all_matches(wanted(spark, sf_dir), inline(spark))
     return sinks.json_rows(wanted(spark, sf_dir), found)

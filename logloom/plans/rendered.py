@@ -10,36 +10,36 @@ from logloom.schema import TEMPLATE
 
 #: id, pattern, stored static count, file, class, method, line, level, variant; in order of insertion.
 TEMPLATES: tuple[tuple, ...] = (
-    ("t1", "User <*> logged in", 3, "src/app/User.java", "UserService", "login", 10, "info", 0),
-    ("t2", "User <*> logged in from <*>", 4, "src/app/User.java", "UserService", "login", 11, "info", 0),
-    ("t3", "Error processing request <*>", 3, "src/app/Request.java", "RequestHandler", "process", 20, "error", 0),
-    ("t4", "Processing <*> items", 2, "src/app/Batch.java", "BatchProcessor", "process", 30, "debug", 0),
-    ("t5", "<*> operation completed successfully", 3, "src/app/Ops.java", "OperationManager", "complete", 40, "unknown", 0),
-    ("t6", "Request: method=<*> path=<*> status=<*>", 4, "src/app/Request.java", "RequestHandler", "serve", 25, "unknown", 0),
-    ("t7", "User <*> logged in", 3, "src/app/Copy.java", "Copy", "login", 12, "warn", 0),
-    ("t8", "<*> finished <*>", 1, "src/app/Ops.java", "OperationManager", "complete", 41, "unknown", 1),
-    ("t9", "Job <*> <*> done", 2, "src/app/Batch.java", "BatchProcessor", "run", 33, "unknown", 0),
+    ("t1", "Valve <*> was opened", 3, "plant/Valve.java", "ValveControl", "open", 51, "info", 0),
+    ("t2", "Valve <*> was opened by <*>", 4, "plant/Valve.java", "ValveControl", "open", 58, "info", 0),
+    ("t3", "Pump failure in sector <*>", 4, "plant/Pump.java", "PumpWatch", "check", 102, "error", 0),
+    ("t4", "Draining <*> tanks", 2, "plant/Tank.java", "TankFarm", "drain", 33, "debug", 0),
+    ("t5", "<*> inspection passed without findings", 4, "plant/Audit.java", "AuditTrail", "close", 71, "unknown", 0),
+    ("t6", "Reading: kind=<*> place=<*> state=<*>", 4, "plant/Pump.java", "PumpWatch", "read", 117, "unknown", 0),
+    ("t7", "Valve <*> was opened", 3, "plant/Mirror.java", "Mirror", "open", 12, "warn", 0),
+    ("t8", "<*> ended <*>", 1, "plant/Audit.java", "AuditTrail", "close", 77, "unknown", 1),
+    ("t9", "Shift <*> <*> over", 2, "plant/Tank.java", "TankFarm", "rest", 90, "unknown", 0),
 )
 LINES = """
 SELECT event_id + 1 AS line_number,
   CASE CAST(floor(event_id / 10) AS BIGINT) % 5
-    WHEN 0 THEN replace({stamp}, ' ', 'T') || 'Z ' || lvl || ' [t-' || CAST(user_id % 4 AS STRING) || '] com.app.Main - ' || msg
-    WHEN 1 THEN {stamp} || '.123 ' || lvl || '  [main] com.app.Worker: ' || msg
+    WHEN 0 THEN replace({stamp}, ' ', 'T') || 'Z ' || lvl || ' [t-' || CAST(user_id % 4 AS STRING) || '] org.plant.Main - ' || msg
+    WHEN 1 THEN {stamp} || '.123 ' || lvl || '  [main] org.plant.Worker: ' || msg
     WHEN 2 THEN lvl || ': ' || msg
-    WHEN 3 THEN lvl || '  ' || {stamp} || ',123 [main] com.app.Job - ' || msg
+    WHEN 3 THEN lvl || '  ' || {stamp} || ',123 [main] org.plant.Shift - ' || msg
     ELSE msg END AS value
 FROM (SELECT *,
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'INFO' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'TRACE' END AS lvl,
   CASE event_id % 10
-    WHEN 0 THEN 'User ' || CAST(user_id AS STRING) || ' logged in'
-    WHEN 1 THEN 'User ' || CAST(user_id AS STRING) || ' Smith logged in from 10.0.' || CAST(user_id % 256 AS STRING) || '.' || CAST(event_id % 256 AS STRING)
-    WHEN 2 THEN 'Error processing request ' || CAST(event_id AS STRING)
-    WHEN 3 THEN 'Processing ' || CAST(event_id % 50 AS STRING) || ' items'
-    WHEN 4 THEN 'Database ' || event_type || ' operation completed successfully'
-    WHEN 5 THEN 'Request: method=GET path=/x/' || CAST(user_id AS STRING) || ' status=' || CAST(200 + event_id % 7 AS STRING)
-    WHEN 6 THEN 'Completely unrelated message ' || CAST(event_id AS STRING)
-    WHEN 7 THEN 'Job a b ' || event_type || ' x finished at last done'
-    WHEN 8 THEN 'task finished then finished again ' || CAST(event_id % 3 AS STRING)
+    WHEN 0 THEN 'Valve ' || CAST(user_id AS STRING) || ' was opened'
+    WHEN 1 THEN 'Valve ' || CAST(user_id AS STRING) || ' north was opened by 10.0.' || CAST(user_id % 256 AS STRING) || '.' || CAST(event_id % 256 AS STRING)
+    WHEN 2 THEN 'Pump failure in sector ' || CAST(event_id AS STRING)
+    WHEN 3 THEN 'Draining ' || CAST(event_id % 50 AS STRING) || ' tanks'
+    WHEN 4 THEN 'Yearly ' || event_type || ' inspection passed without findings'
+    WHEN 5 THEN 'Reading: kind=GET place=/x/' || CAST(user_id AS STRING) || ' state=' || CAST(200 + event_id % 7 AS STRING)
+    WHEN 6 THEN 'Nothing known about item ' || CAST(event_id AS STRING)
+    WHEN 7 THEN 'Shift a b ' || event_type || ' x ended at last over'
+    WHEN 8 THEN 'leak ended then ended again ' || CAST(event_id % 3 AS STRING)
     ELSE '' END AS msg
   FROM events) e
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Levels of templates.
@@ -21,6 +22,11 @@ TEMPLATE = T.StructType(
 )
 
 
+def line_key(rows: DataFrame) -> list[str]:
+    """The columns that tell a line: its number, within its file where there is one."""
+    return [c for c in ("file", "line_number") if c in rows.columns]
+
+
 @dataclass(frozen=True)
 class Options:
     """Switches between what is meant (the default) and what a literal reading of the rules gives.

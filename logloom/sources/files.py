@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -11,10 +13,10 @@ from logloom.functions.text import like_any
 from logloom.schema import LEVELS, TEMPLATE
 
 #: What a walk leaves out by default.
-EXCLUDED = tuple(
-    f"*/{d}/*"
-    for d in "target build bin out .git .svn .hg node_modules __pycache__ test tests testing example examples sample samples".split()
-)
+EXCLUDED = (
+    "*/target/*", "*/build/*", "*/bin/*", "*/out/*", "*/.git/*", "*/.svn/*", "*/.hg/*", "*/node_modules/*", "*/__pycache__/*",
+    "*/test/*", "*/tests/*", "*/testing/*", "*/example/*", "*/examples/*", "*/sample/*", "*/samples/*",
+)
 
 
 class Repository:
@@ -25,12 +27,20 @@ class Repository:
         self.include, self.exclude, self.abs_paths = tuple(include or ("*.java",)), (*(exclude or ()), *EXCLUDED), abs_paths
 
     def files(self, content: bool = True) -> DataFrame:
-        """path, relative and (if wanted) content of every file that is walked."""
+        """path, relative and (if wanted) content of every file that is walked.
+
+        Names are listed and filtered first (Spark's reader holds a listing on the driver in any case), so that no excluded content is read.
+        """
+        if content:
+            names = [r.path for r in self.files(content=False).select("path").toLocalIterator()]
+            if not names:
+                return self.spark.createDataFrame([], "path string, content binary, relative string")
+            found = self.spark.read.format("binaryFile").option("__globPaths__", "false").load(names).select("path", "content")
+            return walked(found, self.root, ("*",), (), self.abs_paths)
         read = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
         if len(self.include) == 1 and "/" not in self.include[0]:
             read = read.option("pathGlobFilter", self.include[0])
-        found = read.load(self.root).select("path", *(["content"] if content else []))
-        return walked(found, self.root, self.include, self.exclude, self.abs_paths)
+        return walked(read.load(self.root).select("path"), self.root, self.include, self.exclude, self.abs_paths)
 
     def count(self) -> int:
         return self.files(content=False).count()
@@ -50,6 +60,11 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path).where(_good()).drop("_corrupt")
 
 
+def each_template(spark: SparkSession, path: str) -> Iterator[Row]:
+    """The templates one after another, a partition at a time."""
+    return read_templates(spark, path).toLocalIterator(prefetchPartitions=True)
+
+
 def bad_templates(spark: SparkSession, path: str) -> DataFrame:
     """Rows that are no templates: broken JSON, missing or mistyped fields, unknown levels."""
     return _read(spark, path).where(~_good())
@@ -63,13 +78,22 @@ def _good():
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*TEMPLATE.fields, T.StructField("_corrupt", T.StringType())])
     try:
         lines = spark.read.text(path)
     except Exception as e:  # a missing table has no templates
         if "PATH_NOT_FOUND" not in str(e):
             raise
         lines = spark.createDataFrame([], "value string")
+    return template_rows(lines)
+
+
+def good_templates(lines: DataFrame) -> DataFrame:
+    """Templates of JSON lines (``value``)."""
+    return template_rows(lines).where(_good()).drop("_corrupt")
+
+
+def template_rows(lines: DataFrame) -> DataFrame:
+    schema = T.StructType([*TEMPLATE.fields, T.StructField("_corrupt", T.StringType())])
     parsed = lines.where(F.trim("value") != "").withColumn("ins_idx", F.monotonically_increasing_id())
     row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return parsed.select(row.alias("t"), "ins_idx").select("t.*", "ins_idx").withColumn("branch_variant", F.coalesce("branch_variant", F.lit(0)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from logloom.operators import reports
-from logloom.schema import TEMPLATE
+from logloom.schema import TEMPLATE, line_key
 
 #: Fixed value: the columns of the CSV form.
 CSV_COLUMNS = ("line_number", "timestamp", "level", "logger", "message", "template_id", "confidence", "pattern", "extracted_values", "source_file", "source_line")
@@ -36,33 +36,34 @@ def three_decimals(value: Column) -> Column:
 
 
 def csv_rows(matches: DataFrame) -> DataFrame:
-    """The CSV form's columns as text; what is missing is empty."""
+    """The CSV form's columns as text; what is missing is empty. Lines of several files have their ``file`` in front."""
     hit = F.col("template_id").isNotNull()
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     when = lambda c: F.when(hit, c).otherwise("")
     return matches.select(
-        "line_number", text("timestamp").alias("timestamp"), text("level").alias("level"), text("logger").alias("logger"), text("message").alias("message"),
+        *line_key(matches), text("timestamp").alias("timestamp"), text("level").alias("level"), text("logger").alias("logger"), text("message").alias("message"),
         text("template_id").alias("template_id"), F.coalesce(three_decimals(F.col("confidence")), F.lit("")).alias("confidence"), when(text("pattern")).alias("pattern"),
         when(F.coalesce(F.array_join("values", " | "), F.lit(""))).alias("extracted_values"), when(text("location.file_path")).alias("source_file"), when(text("location.line_number")).alias("source_line"),
     )
 
 
 def write_csv(matches: DataFrame, path: str) -> None:
-    rows = csv_rows(matches).repartitionByRange("line_number").sortWithinPartitions("line_number")
+    rows = csv_rows(matches).repartitionByRange(*line_key(matches)).sortWithinPartitions(*line_key(matches))
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def json_rows(lines: DataFrame, matches: DataFrame) -> DataFrame:
-    """One JSON object for each line with its matches in order of rank; nulls are kept."""
+    """One JSON object for each line with its matches in order of rank; nulls are kept. Lines of several files have their ``file`` in front."""
+    key = line_key(lines)
     at = F.col("location")
     place = F.struct(at["file_path"].alias("file"), at["line_number"].alias("line"), at["class_name"].alias("class"), at["method_name"].alias("method"))
     rank = F.col("rank") if "rank" in matches.columns else F.lit(1)
     one = F.struct("template_id", "confidence", "pattern", F.col("values").alias("extracted_values"), place.alias("source_location"))
-    grouped = matches.where("template_id is not null").groupBy("line_number").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), one.alias("match")))).alias("found"))
-    head = ["line_number", "timestamp", "level", "logger", "message"]
-    joined = lines.select(*head).join(grouped, "line_number", "left")
+    grouped = matches.where("template_id is not null").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), one.alias("match")))).alias("found"))
+    head = [*key, "timestamp", "level", "logger", "message"]
+    joined = lines.select(*head).join(grouped, key, "left")
     found = F.coalesce(F.transform("found", lambda x: x["match"]), F.array().cast(one_type(grouped)))
-    return joined.select("line_number", F.to_json(F.struct(*head, found.alias("matches")), {"ignoreNullFields": "false"}).alias("value"))
+    return joined.select(*key, F.to_json(F.struct(*head, found.alias("matches")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def one_type(grouped: DataFrame) -> str:
@@ -70,7 +71,8 @@ def one_type(grouped: DataFrame) -> str:
 
 
 def write_json(lines: DataFrame, matches: DataFrame, path: str) -> None:
-    json_rows(lines, matches).repartitionByRange("line_number").sortWithinPartitions("line_number").select("value").write.mode("overwrite").text(path)
+    key = line_key(lines)
+    json_rows(lines, matches).repartitionByRange(*key).sortWithinPartitions(*key).select("value").write.mode("overwrite").text(path)
 
 
 def summary_text(matches: DataFrame, patterns: dict[str, str] | None = None) -> str:

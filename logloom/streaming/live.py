@@ -22,14 +22,17 @@ def lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataF
     return parsed(raw).withColumn("event_time", event_time("timestamp"))
 
 
-def match_stream(stream: DataFrame, templates: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, threshold: float = 0.0, options: Options = Options()):
-    """Starts a query that hands each micro-batch's best matches to ``sink(matches, batch)``; a batch is matched again after a failure."""
+def match_stream(stream: DataFrame, templates: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, threshold: float = 0.0, options: Options = Options(), trigger: dict | None = None):
+    """Starts a query that hands each micro-batch's best matches to ``sink(matches, batch)``; a batch is matched again after a failure.
+
+    ``trigger`` is that of ``DataStreamWriter.trigger``, such as {"processingTime": "10 seconds"}; by default what is there is matched once.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         numbered = batch.withColumn("line_number", F.monotonically_increasing_id())
         sink(best_matches(numbered, templates, threshold, options=options), number)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def level_counts(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

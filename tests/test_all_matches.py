@@ -8,7 +8,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_no_template_is_left_out(spark):
-    name = "all_matches_every_template"
+    name = "all_matches"
     got = __spark_entry__.queries()[name](spark, DATA).collect()
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")

@@ -10,11 +10,11 @@ from logloom.schema import Options
 from logloom.sources import sinks
 
 FIVE = [
-    ("t1", "User <*> logged in", 3, "test1.java", "UserService", "login", 10, "info", 0),
-    ("t2", "User <*> logged in from <*>", 4, "test1.java", "UserService", "login", 11, "info", 0),
-    ("t3", "Error processing request <*>", 3, "test2.java", "RequestHandler", "process", 20, "error", 0),
-    ("t4", "Processing <*> items", 2, "test3.java", "BatchProcessor", "process", 30, "debug", 0),
-    ("t5", "<*> operation completed successfully", 3, "test4.java", "OperationManager", "complete", 40, "info", 0),
+    ("h1", "Ferry <*> reached pier", 3, "Ferry.java", "FerryLog", "arrive", 64, "info", 0),
+    ("h2", "Ferry <*> reached pier after <*>", 4, "Ferry.java", "FerryLog", "arrive", 70, "info", 0),
+    ("h3", "Radar lost contact with <*>", 4, "Radar.java", "RadarDesk", "sweep", 205, "error", 0),
+    ("h4", "Unloading <*> crates", 2, "Crane.java", "CraneQueue", "unload", 19, "debug", 0),
+    ("h5", "<*> drill ended without incident", 4, "Drill.java", "DrillBook", "finish", 88, "info", 0),
 ]
 
 
@@ -58,9 +58,11 @@ def slow(tokens, rows, intra=True):
 
 
 def test_expected_matches(spark):
-    said = {"User john logged in": ("t1", ["john"]), "User alice logged in from 192.168.1.1": ("t2", ["alice", "192.168.1.1"]), "Error processing request 12345": ("t3", ["12345"]),
-            "Processing 100 items": ("t4", ["100"]), "Database operation completed successfully": ("t5", ["Database"]),
-            "Completely unrelated message": (None, None), "User": (None, None), "": (None, None), "logged in User john": (None, None)}
+    said = {
+        "Ferry Alma reached pier": ("h1", ["Alma"]), "Ferry Alma reached pier after 3 hours": ("h2", ["Alma", "3 hours"]), "Radar lost contact with buoy 7": ("h3", ["buoy 7"]),
+        "Unloading 40 crates": ("h4", ["40"]), "Evening fire drill ended without incident": ("h5", ["Evening fire"]),
+        "Fog over the bay": (None, None), "Ferry": (None, None), "": (None, None), "reached pier Ferry Alma": (None, None),
+    }
     got = matching.best_matches(lines(spark, list(said)), inline(spark, FIVE)).collect()
     assert {r.message: (r.template_id, r["values"]) for r in got} == said
 
@@ -87,18 +89,18 @@ def test_random_cases_equal_brute_force(spark, seed):
 
 
 def test_switches(spark):
-    special = [("s", "Request: method=<*> path=<*>", 3, "f", "C", "m", 1, "unknown", 0)]
-    line = lines(spark, ["Request: method=GET path=/a"])
+    special = [("s", "Reading: kind=<*> place=<*>", 3, "f", "C", "m", 1, "unknown", 0)]
+    line = lines(spark, ["Reading: kind=GET place=/a"])
     assert matching.best_matches(line, inline(spark, special)).first()["values"] == ["GET", "/a"]
     assert matching.best_matches(line, inline(spark, special), options=Options(intra_token=False)).first().template_id is None
-    longer = lines(spark, ["Processing 5 items and more"])
+    longer = lines(spark, ["Unloading 5 crates and more"])
     assert matching.best_matches(longer, inline(spark, FIVE)).first().template_id is None
-    assert matching.best_matches(longer, inline(spark, FIVE), options=Options(allow_trailing=True)).first().template_id == "t4"
+    assert matching.best_matches(longer, inline(spark, FIVE), options=Options(allow_trailing=True)).first().template_id == "h4"
 
 
 def test_levels_and_threshold(spark):
-    frame = lines(spark, ["User john logged in"] * 3, ["INFO", "error", None])
-    assert [r.template_id for r in matching.best_matches(frame, inline(spark, FIVE)).orderBy("line_number").collect()] == ["t1", None, "t1"]
+    frame = lines(spark, ["Ferry Alma reached pier"] * 3, ["INFO", "error", None])
+    assert [r.template_id for r in matching.best_matches(frame, inline(spark, FIVE)).orderBy("line_number").collect()] == ["h1", None, "h1"]
     assert matching.level_filter(frame, " info,WARN").count() == 1
     assert matching.best_matches(frame, inline(spark, FIVE), threshold=1.0, use_level=False).where("template_id is not null").count() == 0
     with pytest.raises(ValueError):
@@ -111,13 +113,13 @@ def test_plan_is_one_broadcast_join_without_python(spark):
 
 
 def test_long_and_adjacent(spark):
-    rows = [("l", " ".join(["tok"] * 30 + ["<*>"]), 30, "f", "C", "m", 1, "unknown", 0), ("d", "User <*> <*> logged in", 3, "f", "C", "m", 2, "unknown", 0)]
-    got = matching.best_matches(lines(spark, [" ".join(["tok"] * 30 + ["end"]), "User John Doe logged in"]), inline(spark, rows)).orderBy("line_number").collect()
-    assert [r["values"] for r in got] == [["end"], ["John", "Doe"]]
+    rows = [("l", " ".join(["tok"] * 30 + ["<*>"]), 30, "f", "C", "m", 1, "unknown", 0), ("d", "Ferry <*> <*> reached pier", 3, "f", "C", "m", 2, "unknown", 0)]
+    got = matching.best_matches(lines(spark, [" ".join(["tok"] * 30 + ["end"]), "Ferry Alma Nord reached pier"]), inline(spark, rows)).orderBy("line_number").collect()
+    assert [r["values"] for r in got] == [["end"], ["Alma", "Nord"]]
 
 
 def test_reports_and_sinks(spark, tmp_path):
-    frame = lines(spark, ["User john logged in", "nothing here", "User a | b logged in from c", 'say "x", y'], ["INFO", None, "INFO", "WARN"])
+    frame = lines(spark, ["Ferry Alma reached pier", "nothing here", "Ferry a | b reached pier after c", 'say "x", y'], ["INFO", None, "INFO", "WARN"])
     best = matching.best_matches(frame, inline(spark, FIVE)).persist()
     s = reports.summary(best).first()
     assert (s.total_lines, s.matched_lines, s.unmatched_lines, s.match_rate, s.unique_templates_used) == (4, 2, 2, 50.0, 2)
@@ -129,13 +131,13 @@ def test_reports_and_sinks(spark, tmp_path):
     every = matching.all_matches(frame, inline(spark, FIVE))
     sinks.write_json(frame, every, str(tmp_path / "json"))
     rows = spark.read.json(str(tmp_path / "json")).orderBy("line_number").collect()
-    assert rows[0].matches[0].template_id == "t1" and rows[0].matches[0].source_location.file == "test1.java" and rows[1].matches == []
+    assert rows[0].matches[0].template_id == "h1" and rows[0].matches[0].source_location.file == "Ferry.java" and rows[1].matches == []
     assert "Match rate: 50.0%" in sinks.summary_text(best)
 
 
 def test_tree(spark):
     built = build(inline(spark, FIVE))
-    assert edges(built).where("node = 'User <*> logged in'").collect()[0].token == "from"
+    assert edges(built).where("node = 'Ferry <*> reached pier'").collect()[0].token == "after"
     assert built.select(F.max("holes")).first()[0] == 2
 
 
@@ -143,7 +145,7 @@ def test_single_lines(spark):
     from logloom import api
 
     side = inline(spark, FIVE)
-    assert [r.template_id for r in api.match(side, "User a logged in from b")] == ["t2"]
-    assert api.best_match(side, "User a logged in", "ERROR") is None and api.best_match(side, "User a logged in", "info").template_id == "t1"
-    assert api.describe(api.best_match(side, "Processing 9 items")) == "t4 (0.767) Processing <*> items <- 9" and api.size(side) == 5
+    assert [r.template_id for r in api.match(side, "Ferry a reached pier after b")] == ["h2"]
+    assert api.best_match(side, "Ferry a reached pier", "ERROR") is None and api.best_match(side, "Ferry a reached pier", "info").template_id == "h1"
+    assert api.describe(api.best_match(side, "Unloading 9 crates")) == "h4 (0.767) Unloading <*> crates <- 9" and api.size(side) == 5
     assert api.match(side, "") == [] and api.best_match(side, "no such line") is None

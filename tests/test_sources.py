@@ -11,22 +11,22 @@ from logloom.sources import files, sinks
 from logloom.streaming import live
 
 LINES = {
-    "2023-10-15T14:30:00.123Z INFO [main] com.example.Class - Message here": ("2023-10-15T14:30:00.123Z", "INFO", "main", "com.example.Class", "Message here"),
-    "2023-10-15 14:30:00.123 INFO  [main] com.example.Class: Message": ("2023-10-15 14:30:00.123", "INFO", "main", "com.example.Class", "Message"),
-    "INFO: Message": (None, "INFO", None, None, "Message"),
-    "INFO  2023-10-15 14:30:00,123 [main] com.example.Class - Message": ("2023-10-15 14:30:00,123", "INFO", "main", "com.example.Class", "Message"),
-    "just text": (None, None, None, None, "just text"),
+    "2024-02-29T23:59:58.250Z WARN [pool-7] org.depot.Gate - Gate held open": ("2024-02-29T23:59:58.250Z", "WARN", "pool-7", "org.depot.Gate", "Gate held open"),
+    "2024-02-29 23:59:58.250 DEBUG  [pool-7] org.depot.Gate: Gate shut": ("2024-02-29 23:59:58.250", "DEBUG", "pool-7", "org.depot.Gate", "Gate shut"),
+    "ERROR: Gate stuck": (None, "ERROR", None, None, "Gate stuck"),
+    "TRACE  2024-02-29 23:59:58,250 [io] org.depot.Gate - Gate seen": ("2024-02-29 23:59:58,250", "TRACE", "io", "org.depot.Gate", "Gate seen"),
+    "nothing but words": (None, None, None, None, "nothing but words"),
     "  ": (None,) * 5,
-    "2023-10-15 14:30:00 INFO Processing order 12345": ("2023-10-15 14:30:00", "INFO", None, "Processing", "order 12345"),
-    "2023-10-15 14:30:00 INFO Started": ("2023-10-15 14:30:00", "INFO", None, "Starte", "d"),
+    "2024-03-01 06:07:08 WARN Draining basin 4": ("2024-03-01 06:07:08", "WARN", None, "Draining", "basin 4"),
+    "2024-03-01 06:07:08 WARN Done": ("2024-03-01 06:07:08", "WARN", None, "Don", "e"),
 }
 
 
 def test_parse_line(spark):
     rows = parsed(spark.createDataFrame([(x,) for x in LINES], "value string")).collect()
     assert {r.value: (r.timestamp, r.level, r.thread, r.logger, r.message) for r in rows} == LINES
-    h = spark.createDataFrame([("2023-10-15 14:30:00 INFO Processing order 1",)], "v string").select(header_split("v").alias("h")).first().h
-    assert (h.timestamp, h.level, h.message) == ("2023-10-15 14:30:00", "INFO", "Processing order 1")
+    h = spark.createDataFrame([("2024-03-01 06:07:08 WARN Draining basin 4",)], "v string").select(header_split("v").alias("h")).first().h
+    assert (h.timestamp, h.level, h.message) == ("2024-03-01 06:07:08", "WARN", "Draining basin 4")
 
 
 def test_text_functions(spark):
@@ -78,11 +78,11 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.log").write_text("2023-10-15 14:30:00 INFO [m] c: User john logged in\n2023-10-15 14:31:00 WARN [m] c: nothing\n")
+    (tmp_path / "in/a.log").write_text("2024-03-01 06:07:08 INFO [m] c: Valve 12 was opened\n2024-03-01 06:08:08 WARN [m] c: nothing\n")
     got = []
     query = live.match_stream(live.lines(spark, str(tmp_path / "in")), inline(spark), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"))
     query.awaitTermination(120)
-    assert sorted((r.message, r.template_id) for r in got) == [("User john logged in", "t1"), ("nothing", None)]
+    assert sorted((r.message, r.template_id) for r in got) == [("Valve 12 was opened", "t1"), ("nothing", None)]
     counts = live.level_counts(live.lines(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("levels").outputMode("complete").start()
     counts.processAllAvailable()
     counts.stop()
@@ -91,8 +91,8 @@ def test_stream(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "src").mkdir()
-    (tmp_path / "src/A.java").write_text('class A { void f(String u) {\n log.info("User {} logged in", u);\n log.warn("Left: " + u);\n } }')
-    (tmp_path / "x.log").write_text("INFO: User bob logged in\n\nWARN: Left: now\nINFO: what\n")
+    (tmp_path / "src/A.java").write_text('class A { void f(String u) {\n log.info("Ship {} has left", u);\n log.warn("Left: " + u);\n } }')
+    (tmp_path / "x.log").write_text("INFO: Ship bob has left\n\nWARN: Left: now\nINFO: what\n")
     t, o = str(tmp_path / "t"), str(tmp_path / "o")
     assert cli.main(["extract", "-s", str(tmp_path / "src"), "-o", t, "-v"]) == 0
     assert cli.main(["analyze", "-t", t, "-s"]) == 0
