@@ -32,7 +32,10 @@ PART_BYTES = 8 << 20
 MOST_PARTS = 1 << 16
 #: Spark's estimate where it has none is larger.
 UNKNOWN_BYTES = 1 << 60
-REQUEST, POSITIONS = 0, 1
+#: Words in one row of positions.
+POSITIONS_WORDS = 1 << 17
+#: Kinds of rows, in the order in which a block gets them. What a part has to say about itself is passed on as a total.
+TOTAL, MORE, REQUEST, POSITIONS, LAST = -2, -1, 0, 1, 2
 ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 ROWS_SQL = "key long, block long, part int, kind int, payload binary"
 
@@ -68,7 +71,7 @@ def parts_for(docs: DataFrame) -> int:
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     size = sum(x for x in sizes if x < UNKNOWN_BYTES)
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES))
+    return min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES))
 
 
 class Numbers(dict):
@@ -122,6 +125,7 @@ def blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: in
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Every part with the places that belong to it, in their order."""
+    part = part.astype(np.uint16)  # as few bits as MOST_PARTS needs are sorted by radix
     order = np.argsort(part, kind="stable")
     cuts = [0, *(np.flatnonzero(part[order][1:] != part[order][:-1]) + 1).tolist(), len(order)] if len(order) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -134,14 +138,15 @@ def restored(kinds: list[np.ndarray]) -> np.ndarray:
 
 
 def requests(docs: DataFrame, columns: tuple[str, ...], parts: int, ask: Callable, size: int = BLOCK_WORDS, lower: bool = False) -> DataFrame:
-    """Step 1. ``ask(block, number)`` yields (part, kind, payload); positions have the block's number as part."""
+    """Step 1. ``ask(block, parts)`` yields (part, kind, payload) for the parts; what a block keeps for itself follows as ``LAST``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for block in blocks(batches, columns, size, lower):
             for part, kind, payload in ask(block, parts):
-                key = number if kind == POSITIONS else part
-                yield batch_of([(key, number, part, kind, payload)])
+                yield batch_of([(number + part if kind == LAST else part, number, part, kind, payload)])
+            for k, (a, b) in enumerate(chunks(len(block.at), POSITIONS_WORDS)):
+                yield batch_of([(number + k, number, k, POSITIONS, pack(block.at[a:b]))])
             number += 1
 
     return docs.mapInArrow(run, ROWS_SQL)
@@ -167,13 +172,18 @@ def together(answers: DataFrame, parts: int) -> DataFrame:
     return answers.repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], list[np.ndarray]]]:
-    """Number, unpacked answers (kind, part, arrays) and unpacked positions of every block."""
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple] | None, list[np.ndarray]]]:
+    """Number, unpacked answers (kind, part, arrays) and own arrays of every block, the last of which are its positions. Totals have no answers."""
     answers: list[tuple] = []
+    at: list[np.ndarray] = []
     for _, block, part, kind, payload in rows_of(batches):
-        if kind == POSITIONS:
-            yield block, answers, unpack(payload)
-            answers = []
+        if kind == TOTAL:
+            yield block, None, unpack(payload)
+        elif kind == LAST:
+            yield block, answers, [*unpack(payload), np.concatenate(at) if at else np.zeros(0, np.uint32)]
+            answers, at = [], []
+        elif kind == POSITIONS:
+            at += unpack(payload)
         else:
             answers.append((kind, part, unpack(payload)))
 

@@ -133,13 +133,13 @@ def packed_ids(code: str) -> Callable[[list[int]], bytes]:
 
 
 def ask(block: B.Block, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """A block's different words for each part, and its documents as numbers of words."""
+    """A block's different words for each part, and its documents' ids and sizes."""
     _, part, kind = block.renumbered(parts)
     for p, places in B.by_part(part):
         words = np.frombuffer(b" ".join([block.words[i] for i in places.tolist()]), np.uint8)
         yield p, B.REQUEST, B.pack(kind[places], words)
     ids = [d for (d,) in block.rows]
-    yield -1, B.POSITIONS, B.pack(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), block.sizes, block.at)
+    yield 0, B.LAST, B.pack(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), block.sizes)
 
 
 def encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,376 +4,254 @@ A token's probability mixes maximum-likelihood estimates of order two, one and z
 
     p(w | v) = l2(b) c(v, w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1)
 
-where b is the bucket of the context's frequency c(v). The weights of each bucket are learned by expectation-maximisation on deleted
-(held-out) counts: every training token is taken out of the counts that predict it. Unknown words share one outcome, so the
-probabilities of all outcomes sum to one. Contexts are the ``CONTEXTS`` most frequent words; all rarer ones are one context, with
-counts of its own, in a bucket of its own.
+where b is the bucket of the context's frequency c(v), a power of two. The weights of each bucket are learned by
+expectation-maximisation on deleted (held-out) counts: every training token is taken out of the counts that predict it. Unknown words
+share one outcome, so the probabilities of all outcomes sum to one. Every word is a context of its own, whatever its frequency.
 
 How it runs, with counts over all training documents:
-1. Words are counted (hash, count), pre-aggregated by task. The frequent words' table, bounded by ``CONTEXTS``, goes to every worker.
-2. One pass turns texts into blocks of about ``BLOCK`` tokens. A block's tokens are dealt by (v, w), or by w where w is rare, to
-   parts, packed as compressed arrays of a few bytes a token. This is the only wide shuffle. A frequent pair is spread over
-   documents as evenly as any other token, since a part holds many pairs and a token takes the same few bytes whatever its pair.
-3. A part counts its pairs (and its rare words) and notes the counts beside the tokens. From here on tokens are independent.
-4. The weights are fitted on a histogram of deleted estimates by bucket (its size doesn't depend on the input), and the same table
-   gives each document's sums, which meet by block.
+1. Texts are cut into blocks (``blocks``). A block sums its own counts first and sends each of its different words and word pairs once
+   to the part that owns it, so a pair with a large share of all tokens is one number for each block, not a row for each token.
+2. A part adds up its words and pairs over all blocks and answers each block in its own order.
+3. A block's answers meet its documents' positions and are kept as a table: from here on tokens know their counts.
+4. The weights are fitted on a histogram of the deleted estimates by bucket (its size doesn't depend on the input; an estimate differs
+   from its cell's mean by a factor of 2 ** (1 / BINS) at most), and the same table gives each document's sums.
 
-Words are told apart by 64-bit hashes.
+Only N, V, the number of documents and the weights are sent to every worker. Words are told apart by 64-bit hashes, pairs by 56 bits of a
+hash of both and by the part that they fall to.
 
 Defined cases: null and empty texts are one end token; without training documents every word is unknown; repeated rows repeat
-their result; a null doc_id counts as the empty text in the fold.
+their result; a null doc_id counts as the empty text in the fold; a context without training tokens leaves the lower orders.
 """
 
 from __future__ import annotations
 
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER, documents, fold, hot_threshold, id_and_bytes, slices, written
-
-CONTEXTS, BLOCK, PART_TOKENS, LEAST_PARTS = 262_144, 500_000, 3_000_000, 96
-KEPT_WORDS, EM_STEPS, BINS = 200_000, 60, 4
-#: Bucket of the contexts that are not in the table, and of a text's beginning.
-RARE_BUCKET, BEGIN_BUCKET = 62, 63
-ROWS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-ROWS_SQL = "part int, block long, kind int, payload binary"
-TOKENS, DIRECTORY = 0, 1
+from logloom.llm import blocks as B
+from logloom.llm.common import documents, fold, id_and_bytes, written
+
+BLOCK_WORDS, EM_STEPS, BINS = 2_000_000, 60, 8
+#: Bucket of a text's beginning, and the bin of an estimate that is zero.
+BEGIN_BUCKET, ZERO_BIN = 63, 1023
+#: Odd factors and marks of the beginning and the end in the hash of a pair.
+MIX_V, MIX_W, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+COUNTED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64()), ("docs", pa.int64()), ("payload", pa.binary())])
+COUNTED_SQL = "block long, kind int, tokens long, words long, docs long, payload binary"
+CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("log2", pa.float64()), ("log1", pa.float64())])
 OUT = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 )
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 2 * n, 8).tolist()
-    out, at = [], 8 + 16 * n
-    for kind, size in zip(head[::2], head[1::2], strict=True):
-        out.append(np.frombuffer(raw[at : at + size], np.dtype(chr(kind))))
-        at += size
-    return out
-
-
-def small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in as few bytes as hold them."""
-    most = int(x.max(initial=0))
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
-
-
-def hashed(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+@dataclass(frozen=True)
+class Totals:
+    """Training tokens (with the ends), different ones, and documents."""
 
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Hash and count of every word of ``docs``, counted within each task first."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(map(hashed, found), pa.int64(), size=len(found)), pa.array(found.values(), pa.int64(), size=len(found))], schema=schema)
-
-        for (raws,) in slices(batches, ("text",)):
-            for raw in raws:
-                for w in raw.translate(LOWER).split():
-                    found[w] = found.get(w, 0) + 1
-            if len(found) > KEPT_WORDS:
-                yield flush()
-                found.clear()
-        yield flush()
-
-    return id_and_bytes(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Totals, and the frequent words with their counts (ranked by count)."""
-
-    def __init__(self, n_docs: int, words: int, distinct: int, hot: list[tuple[int, int]]):
-        self.end = n_docs
-        self.tokens, self.distinct = words + n_docs, distinct + (n_docs > 0)
-        hot = sorted(hot, key=lambda x: (-x[1], x[0]))
-        hashes = np.array([h for h, _ in hot], np.int64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.k = len(hot)
-        counts = np.array([n for _, n in hot], np.int64)
-        #: Counts of targets: frequent words, then the end. Counts of contexts: frequent words, then the rare ones, then the beginning.
-        self.targets = np.append(counts, n_docs)
-        self.contexts = np.append(counts, (words - int(counts.sum()), n_docs))
-        self.parts = max(LEAST_PARTS, self.tokens // PART_TOKENS)
-
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """Ranks of the frequent words among ``hashes``; -1 for the others."""
-        if not self.k:
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.k - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+    tokens: int
+    distinct: int
+    docs: int
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
 
-    def buckets(self, v: np.ndarray) -> np.ndarray:
-        out = np.minimum(np.log2(np.maximum(self.contexts, 1)).astype(np.int64), 61)
-        out[self.k :] = RARE_BUCKET, BEGIN_BUCKET
-        return out[v]
 
+class Tokens:
+    """A block's tokens: word (its number, or ``ends`` for an end), context (or ``ends`` for a beginning), document and pair."""
+
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, words: int):
+        self.ends, n = words, len(sizes)
+        last = np.cumsum(sizes + 1) - 1
+        self.word = np.empty(len(at) + n, np.int64)
+        inner = np.ones(len(self.word), bool)
+        inner[last] = False
+        self.word[inner], self.word[last] = at, words
+        self.doc = np.repeat(np.arange(n), sizes + 1)
+        context = np.empty_like(self.word)
+        context[:1], context[1:] = words, self.word[:-1]
+        context[last[:-1] + 1] = words
+        self.codes, self.pair = np.unique(context * (words + 1) + self.word, return_inverse=True)
+
+    @property
+    def first(self) -> np.ndarray:
+        """Context of each different pair."""
+        return self.codes // (self.ends + 1)
+
+    @property
+    def second(self) -> np.ndarray:
+        return self.codes % (self.ends + 1)
+
+
+def pair_parts(tokens: Tokens, short: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair, from 16 bits of either word's hash, which a block keeps."""
+    of = np.append(short, np.uint16(0)).astype(np.uint64)
+    mixed = of[tokens.first] * MIX_V + of[tokens.second] * MIX_W
+    return ((mixed ^ mixed >> np.uint64(31)) * MIX >> np.uint64(33)) % np.uint64(parts)
+
+
+def pair_keys(tokens: Tokens, hashes: np.ndarray) -> np.ndarray:
+    mixed = np.append(hashes, BEGIN)[tokens.first] * MIX_V + np.append(hashes, END)[tokens.second] * MIX_W
+    mixed = (mixed ^ mixed >> np.uint64(31)) * MIX
+    return (mixed ^ mixed >> np.uint64(29)) >> np.uint64(8)
+
+
+def ask(block: B.Block, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """A block's different words and pairs with their numbers in training documents, and what tells its documents."""
+    _, part, kind = block.renumbered(parts)
+    ids, held = zip(*block.rows, strict=True)
+    tokens = Tokens(block.sizes, block.at, len(block.words))
+    train = ~np.array(held, bool)[tokens.doc]
+    uses = np.bincount(tokens.word[train], minlength=tokens.ends + 1)
+    for p, places in B.by_part(part):
+        yield p, B.REQUEST, B.pack(kind[places], block.hashes[places], B.small(uses[places]))
+    short = (block.hashes & np.uint64(0xFFFF)).astype(np.uint16)
+    keys, uses = pair_keys(tokens, block.hashes), np.bincount(tokens.pair[train], minlength=len(tokens.codes))
+    for p, places in B.by_part(pair_parts(tokens, short, parts)):
+        yield p, B.MORE, B.pack(keys[places], B.small(uses[places]))
+    yield 0, B.LAST, B.pack(np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), np.array(held, bool), block.sizes, short)
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts' words and pairs over all blocks. A part has each of a block's words and pairs once."""
+    mine: dict[tuple[int, int], list[tuple[int, bytes]]] = defaultdict(list)
+    for key, block, part, kind, payload in B.rows_of(batches):
+        if kind in (B.REQUEST, B.MORE):
+            mine[kind, part].append((block, payload))
+        else:
+            yield B.batch_of([(key, block, part, kind, payload)])
+    while mine:
+        (kind, part), rows = mine.popitem()
+        got = [B.unpack(x) for _, x in rows]
+        which, different = pd.factorize(np.concatenate([x[-2] for x in got]))
+        total = np.bincount(which, np.concatenate([x[-1] for x in got]), minlength=len(different)).astype(np.int64)
+        if kind == B.REQUEST:
+            yield B.batch_of([(part, -1 - part, part, B.TOTAL, B.pack(np.array([np.count_nonzero(total)])))])
+        cuts = np.cumsum([len(x[-1]) for x in got])[:-1]
+        for (block, _), x, counts in zip(rows, got, np.split(total[which], cuts), strict=True):
+            yield B.batch_of([(part, block, part, kind, B.pack(*x[:-2], B.small(counts)))])
+
+
+def counted(docs: DataFrame, size: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of documents with the counts of their words and pairs, and in ``tokens``, ``words`` and ``docs`` what adds up to the totals."""
+    parts = B.parts_for(docs)
+    source = id_and_bytes(docs, (fold(7) == 2).alias("held_out"))
+    asked = B.requests(source, ("doc_id", "held_out"), parts, ask, size, lower=True)
 
-def count(docs: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """Counts of the training documents."""
-    counts = written(word_counts(docs), "lm-words")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    hot = counts.where(F.col("n") >= hot_threshold(counts, contexts)).collect()
-    return Model(docs.count(), total.n or 0, total.v, [(r.word, r.n) for r in hot])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers, arrays in B.by_block(batches):
+            if answers is None:
+                yield row_of((block, B.TOTAL, 0, int(arrays[0][0]), 0, b""))
+                continue
+            ids, none, held, sizes, short, at = arrays
+            words, pairs = ([x for k, _, x in answers if k == kind] for kind in (B.REQUEST, B.MORE))
+            of_word = np.concatenate([n for _, n in words]).astype(np.int64)[B.restored([k for k, _ in words])] if words else np.zeros(0, np.int64)
+            tokens = Tokens(sizes, at, len(of_word))
+            of_pair = np.empty(len(tokens.codes), np.int64)
+            of_pair[np.argsort(pair_parts(tokens, short, parts).astype(np.uint16), kind="stable")] = np.concatenate([n for (n,) in pairs])
+            payload = B.pack(ids, none, held, sizes, B.small(of_word), B.small(of_pair), at)
+            yield row_of((block, B.LAST, int((sizes + 1)[~held].sum()), 0, int((~held).sum()), payload))
 
+    return B.together(B.answered(asked, parts, added), parts).mapInArrow(run, COUNTED_SQL)
 
-def part_of(a: np.ndarray, b: np.ndarray | int, parts: int) -> np.ndarray:
-    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.asarray(b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
 
+def row_of(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, COUNTED, strict=True)], schema=COUNTED)
 
-def blocks(docs: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
-    """Packed tokens of all documents, by part, and a directory of each block's documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        k = m.k
-        table: dict[bytes, int] = {}
-        ranks, hashes = array("q"), array("q")
-        base = m.base(m.targets)
-        block = (TaskContext.get().partitionId() << 32) - 1
-        held: list[tuple] = []
-        tokens = 0
-
-        def learn(words: list[bytes]) -> None:
-            new = [w for w in dict.fromkeys(words) if w not in table]
-            table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-            found = np.fromiter(map(hashed, new), np.int64, len(new))
-            hashes.frombytes(found.tobytes())
-            ranks.frombytes(m.ranks(found).astype(np.int64).tobytes())
-
-        def flush() -> pa.RecordBatch:
-            sizes = np.array([len(x) + 1 for *_, x in held])
-            ends = np.cumsum(sizes) - 1
-            at = np.zeros(int(sizes.sum()), np.int64)
-            word = np.ones(len(at), bool)
-            word[ends] = False
-            at[word] = np.concatenate([x for *_, x in held])
-            known_words = bool(len(ranks))
-            w = np.array(ranks, np.int64)[at] if known_words else np.full(len(at), -1)
-            w[ends] = k
-            v = np.append(k + 1, np.where(w < 0, k, w)[:-1])
-            v[ends[:-1] + 1] = k + 1
-            train = np.array([t for _, _, t, _ in held], bool)
-            doc = np.repeat(np.arange(len(held)) * 2 + train, sizes).astype(np.int32)
-            hot = w >= 0
-            h = np.array(hashes, np.int64)[at] if known_words else np.zeros(len(at), np.int64)
-            sums = np.bincount(doc[hot] >> 1, base[w[hot]], minlength=len(held))
-            known = np.bincount(doc[hot] >> 1, m.targets[w[hot]] > 0, minlength=len(held)).astype(np.int64)
-            part = np.where(hot, part_of(w, v + 1, m.parts), part_of(h, 0, m.parts)).astype(np.uint16 if m.parts < 1 << 16 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(m.parts + 1))
-            rows = []
-            for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                some = order[cuts[p] : cuts[p + 1]]
-                a, b = some[hot[some]], some[~hot[some]]
-                rows.append((int(p), block, TOKENS, pack(doc[a], w[a].astype(np.int32), v[a].astype(np.int32), doc[b], h[b], v[b].astype(np.int32))))
-            ids = np.array([d or 0 for d, *_ in held], np.int64)
-            flags = np.array([(d is None) + 2 * o for d, o, *_ in held], np.int8)
-            rows.append((block % m.parts, block, DIRECTORY, pack(ids, flags, sizes.astype(np.int64), known, sums)))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
-
-        for ids, raws, outs in slices(batches, ("doc_id", "text", "held_out")):
-            for doc_id, raw, out in zip(ids, raws, outs, strict=True):
-                words = raw.translate(LOWER).split()
-                try:
-                    at = np.array([table[w] for w in words], np.int64)
-                except KeyError:
-                    learn(words)
-                    at = np.array([table[w] for w in words], np.int64)
-                held.append((doc_id, out, not out, at))
-                tokens += len(at) + 1
-                if tokens >= size:
-                    block += 1
-                    yield flush()
-                    held, tokens = [], 0
-                    if len(table) > KEPT_WORDS:
-                        table, ranks, hashes = {}, array("q"), array("q")
-        if held:
-            block += 1
-            yield flush()
+def totals(table: DataFrame) -> Totals:
+    n, v, d = table.agg(F.sum("tokens"), F.sum("words"), F.sum("docs")).first()
+    return Totals(n or 0, (v or 0) + bool(d), d or 0)
 
-    source = id_and_bytes(docs, (fold(7) == 2).alias("held_out"))
-    return source.mapInArrow(run, ROWS_SQL)
 
+class Counts:
+    """A block of ``counted``, unpacked: counts of each word (then of the end) and of each different pair, its context and its word."""
 
-def counted(packed: DataFrame, model: Model) -> DataFrame:
-    """Each part's tokens with their counts: (document, c(v, w), v, c(w)), and the base's sums over rare words."""
-    sent = packed.sparkSession.sparkContext.broadcast(model)
+    def __init__(self, payload: bytes, all_of: Totals):
+        self.ids, self.none, self.held, self.sizes, words, pairs, at = B.unpack(payload)
+        self.tokens = Tokens(self.sizes, at, len(words))
+        self.word = np.append(words.astype(np.int64), all_of.docs)
+        self.pair = pairs.astype(np.int64)
+        first = self.tokens.first
+        self.context, self.target = self.word[first], self.word[self.tokens.second]
+        self.bucket = np.where(first == self.tokens.ends, BEGIN_BUCKET, np.log2(np.maximum(self.context, 1)).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-
-        def pairs(key: np.ndarray, train: np.ndarray) -> np.ndarray:
-            number, found = pd.factorize(key)
-            return np.bincount(number[train], minlength=len(found))[number].astype(np.int64)
-
-        def done(part: int, mine: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            got = [unpack(x) for _, x in mine]
-            doc, w, v, rare_doc, h, rare_v = (np.concatenate(x) for x in zip(*got, strict=True))
-            cut = np.cumsum([[0, 0], *([len(x[0]), len(x[3])] for x in got)], axis=0)
-            both = pairs(w.astype(np.int64) * (m.k + 2) + v, (doc & 1).astype(bool))
-            train = (rare_doc & 1).astype(bool)
-            number, found = pd.factorize(h)
-            rare = np.bincount(number[train], minlength=len(found))[number].astype(np.int64)
-            rare_both = pairs(number.astype(np.int64) * (m.k + 2) + rare_v, train)
-            base = m.base(rare)
-            rows = []
-            for i, (block, _) in enumerate(mine):
-                a, b = slice(cut[i, 0], cut[i + 1, 0]), slice(cut[i, 1], cut[i + 1, 1])
-                one = lambda x, y: np.concatenate((x[a], y[b]))  # noqa: B023, E731
-                rows.append((part, block, TOKENS, pack(one(doc, rare_doc), small(one(both, rare_both)), one(v, rare_v), small(one(m.targets[w], rare)), rare_doc[b], small(rare[b]), base[b])))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
-
-        last, mine = None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part, block, kind, payload = (batch.column(c)[i].as_py() for c in range(4))
-                if kind == DIRECTORY:
-                    yield batch.slice(i, 1).cast(ROWS)
-                    continue
-                if part != last and mine:
-                    yield done(last, mine)
-                    mine = []
-                last = part
-                mine.append((block, payload))
-        if mine:
-            yield done(last, mine)
-
-    return packed.repartition(model.parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, ROWS_SQL)
-
-
-def histogram(table: DataFrame, model: Model):
+
+def histogram(table: DataFrame, all_of: Totals) -> pd.DataFrame:
     """Deleted estimates of all training tokens, by bucket and by (quantised) size of either estimate: tokens and sums of logarithms."""
-    sent = table.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("log2", pa.float64()), ("log1", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        contexts, tokens, buckets = np.log2(np.maximum(m.contexts - 1, 1)), np.log2(max(m.tokens - 1, 1)), m.buckets(np.arange(m.k + 2))
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, both, v, w, *_ = unpack(batch.column(0)[i].as_py())
-                train = (doc & 1).astype(bool)
-                both, v, w = both[train], v[train], w[train]
-                f2 = np.log2(np.maximum(both, 1) - 1 + 1e-300) - contexts[v]
-                f1 = np.log2(np.maximum(w, 1) - 1 + 1e-300) - tokens
-                bins = [np.where(f > -60, np.floor(-f * BINS), 255).astype(np.int64) for f in (f2, f1)]
-                inverse, cell = pd.factorize((buckets[v] * 256 + bins[0]) * 256 + bins[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int64()), pa.array(np.bincount(inverse), pa.int64()), pa.array(np.bincount(inverse, f2)), pa.array(np.bincount(inverse, f1))], schema=schema
-                )
-
-    rows = table.where(F.col("kind") == TOKENS).select("payload").mapInArrow(run, "cell long, n long, log2 double, log1 double")
+            for payload in batch.column(0):
+                c = Counts(payload.as_py(), all_of)
+                n = np.bincount(c.tokens.pair[~c.held[c.tokens.doc]], minlength=len(c.pair))
+                some = n > 0
+                n = n[some]
+                f2 = np.log2(c.pair[some] - 1 + 1e-300) - np.log2(np.maximum(c.context[some] - 1, 1))
+                f1 = np.log2(c.target[some] - 1 + 1e-300) - np.log2(max(all_of.tokens - 1, 1))
+                bins = [np.where(f > -100, np.floor(-f * BINS), ZERO_BIN).astype(np.int64) for f in (f2, f1)]
+                which, cell = pd.factorize((c.bucket[some] * 1024 + bins[0]) * 1024 + bins[1])
+                sums = [np.bincount(which, w, minlength=len(cell)) for w in (n, n * f2, n * f1)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=CELLS)
+
+    rows = table.where(F.col("kind") == B.LAST).select("payload").mapInArrow(run, "cell long, n long, log2 double, log1 double")
     return rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("log2").alias("log2"), F.sum("log1").alias("log1")).toPandas()
 
 
-def weights(cells, model: Model) -> np.ndarray:
+def weights(cells: pd.DataFrame, all_of: Totals) -> np.ndarray:
     """(64, 3) mixture weights of orders two, one and zero, by expectation-maximisation on the deleted estimates."""
     out = np.tile([0.0, 0.9, 0.1], (64, 1))
-    bucket = cells["cell"].to_numpy(np.int64) >> 16
-    n = cells["n"].to_numpy(float)
-    zero = [(cells["cell"].to_numpy(np.int64) >> s & 255) == 255 for s in (8, 0)]
+    cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)
+    zero = [(cell >> s & 1023) == ZERO_BIN for s in (10, 0)]
     f2, f1 = (np.where(z, 0, np.exp2(cells[c].to_numpy(float) / np.maximum(n, 1))) for z, c in zip(zero, ("log2", "log1"), strict=True))
-    for b in np.unique(bucket):
-        here = bucket == b
-        terms = np.stack((f2[here], f1[here], np.full(int(here.sum()), 1 / (model.distinct + 1))), 1)
-        now = np.array([0.4, 0.4, 0.2])
-        for _ in range(EM_STEPS):
-            post = terms * now
-            now = (n[here, None] * post / post.sum(1, keepdims=True)).sum(0) / n[here].sum()
-        out[b] = np.maximum(now, 1e-6) / np.maximum(now, 1e-6).sum()
+    for b in np.unique(cell >> 20):
+        here = cell >> 20 == b
+        out[b] = mixed(np.stack((f2[here], f1[here], np.full(int(here.sum()), 1 / (all_of.distinct + 1))), 1), n[here])
     return out
 
 
-def sums(table: DataFrame, model: Model, mix: np.ndarray) -> DataFrame:
-    """Rows of the result: each block's parts give their documents' sums, which meet by block."""
-    sent = table.sparkSession.sparkContext.broadcast((model, mix))
+def mixed(terms: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of the columns of ``terms`` that make tokens (``n`` of each row) likeliest."""
+    now = np.array([0.4, 0.4, 0.2])
+    for _ in range(EM_STEPS):
+        post = terms * now
+        now = (n[:, None] * post / post.sum(1, keepdims=True)).sum(0) / n.sum()
+    return np.maximum(now, 1e-6) / np.maximum(now, 1e-6).sum()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, mix = sent.value
-        # Each context's mixture, over the counts' denominators. A context that was never seen has no pairs.
-        lam = mix[m.buckets(np.arange(m.k + 2))]
-        lam = np.where((m.contexts > 0)[:, None], lam, lam * [0, 1, 1] / lam[:, 1:].sum(1, keepdims=True))
-        pairs, words, flat = lam[:, 0] / np.maximum(m.contexts, 1), lam[:, 1] / max(m.tokens, 1), lam[:, 2] / (m.distinct + 1)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(2)[i].as_py() == DIRECTORY:
-                    yield batch.slice(i, 1).cast(ROWS)
-                    continue
-                doc, both, v, w, rare_doc, rare, base = unpack(batch.column(3)[i].as_py())
-                p = pairs[v] * both + words[v] * w + flat[v]
-                size = int(doc.max(initial=-1)) // 2 + 1
-                docs, cold = np.flatnonzero(np.bincount(doc >> 1, minlength=size)).astype(np.int32), rare_doc >> 1
-                score, base, known = np.bincount(doc >> 1, np.log10(p), size), np.bincount(cold, base, size), np.bincount(cold, rare > 0, size).astype(np.int64)
-                payload = pack(docs, score[docs], base[docs], known[docs])
-                one = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), TOKENS, payload)
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one, ROWS, strict=True)], schema=ROWS)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, _ = sent.value
-
-        def done(directory: list[np.ndarray], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            ids, flags, sizes, known, base = directory
-            score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
-            for docs, s, b, k in parts:
-                score[docs] += s
-                base[docs] += b
-                known[docs] += k
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), m.tokens)), pa.array(base), pa.array(score)],
-                schema=OUT,
-            )
-
-        last, directory, parts = None, None, []
+
+def scores(table: DataFrame, all_of: Totals, mix: np.ndarray) -> DataFrame:
+    """Rows of the result, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                _, block, kind, payload = (batch.column(c)[i].as_py() for c in range(4))
-                if block != last and directory is not None:
-                    yield done(directory, parts)
-                    directory, parts = None, []
-                last = block
-                if kind == DIRECTORY:
-                    directory = unpack(payload)
-                else:
-                    parts.append(unpack(payload))
-        if directory is not None:
-            yield done(directory, parts)
-
-    rows = table.mapInArrow(partial, ROWS_SQL).repartition("block").sortWithinPartitions("block", "kind", "part")
-    return rows.mapInArrow(meet, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def interpolated_lm(docs: DataFrame, contexts: int = CONTEXTS, block: int = BLOCK) -> DataFrame:
+            for payload in batch.column(0):
+                c = Counts(payload.as_py(), all_of)
+                lam = mix[c.bucket]
+                lam = np.where((c.context > 0)[:, None], lam, lam * [0, 1, 1] / lam[:, 1:].sum(1, keepdims=True))
+                p = lam[:, 0] * c.pair / np.maximum(c.context, 1) + lam[:, 1] * c.target / max(all_of.tokens, 1) + lam[:, 2] / (all_of.distinct + 1)
+                of_doc = lambda x, c=c: np.bincount(c.tokens.doc, x, minlength=len(c.ids))
+                base, known = of_doc(all_of.base(c.word)[c.tokens.word]), of_doc(c.word[c.tokens.word] > 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.ids, mask=c.none), pa.array(c.held), pa.array(c.sizes + 1), pa.array(known), pa.array(np.full(len(c.ids), all_of.tokens)), pa.array(base), pa.array(of_doc(np.log10(p)[c.tokens.pair]))],
+                    schema=OUT,
+                )
+
+    rows = table.where(F.col("kind") == B.LAST).select("payload")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def interpolated_lm(docs: DataFrame, size: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    model = count(docs.where(fold(7) != 2), contexts)
-    table = written(counted(blocks(docs, model, block), model), "lm-tokens")
-    return sums(table, model, weights(histogram(table, model), model))
+    table = written(counted(docs, size), "lm-counts")
+    all_of = totals(table)
+    return scores(table, all_of, weights(histogram(table, all_of), all_of))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
