@@ -133,7 +133,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which, different = pd.factorize(np.concatenate([x[-2] for x in got]))
         total = np.bincount(which, np.concatenate([x[-1] for x in got]), minlength=len(different)).astype(np.int64)
         if kind == B.REQUEST:
-            yield B.batch_of([(part, -1 - part, part, B.TOTAL, B.pack(np.array([np.count_nonzero(total)])))])
+            yield B.batch_of([(part, rows[0][0], part, B.TOTAL, B.pack(np.array([np.count_nonzero(total)])))])
         cuts = np.cumsum([len(x[-1]) for x in got])[:-1]
         for (block, _), x, counts in zip(rows, got, np.split(total[which], cuts), strict=True):
             yield B.batch_of([(part, block, part, kind, B.pack(*x[:-2], B.small(counts)))])
