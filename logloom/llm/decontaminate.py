@@ -11,7 +11,9 @@ of them; repeated doc_ids give one row per input row; further columns are ignore
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -24,8 +26,9 @@ from logloom.llm.common import CHUNK, WORD_BYTES, documents, id_and_bytes, per_r
 from logloom.session import ensure_importable
 
 WINDOW = 10
-#: Items' text (in bytes) per automaton. Benchmarks beyond it are scanned with several automata in turn.
-SHARD_BYTES = 16 << 20
+#: Items' text (in bytes) per automaton: a megabyte makes 130,000 windows and takes about 400 MB in each worker, as measured.
+#: Benchmarks beyond it are scanned with several automata in turn.
+SHARD_BYTES = 1 << 20
 FOUND = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
      ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string())]
@@ -102,18 +105,14 @@ def _row(doc_id, n_words: int, runs: list[tuple[int, int]], items, points: list[
             bool(runs), ",".join(f"{a}:{b}" for a, b in points))
 
 
-def shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> list[list[tuple[str, bytes]]]:
-    """Items streamed to the driver in order of id and dealt to shards of at most ``limit`` bytes of text."""
-    out: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(text) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, bytes(text)))
-        size += len(text)
-    return out
+def shards(benchmark: DataFrame, limit: int = SHARD_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """Items dealt to shards of about ``limit`` bytes of text by a hash of their id; one shard at a time is on the driver."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    for k in range(n):
+        some = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text")
+        yield [(r.item_id, bytes(r.text)) for r in some.collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, limit: int = SHARD_BYTES) -> DataFrame:
@@ -123,18 +122,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
     shards, each scanned in turn, and a document's runs and items are united per row. Documents are never shuffled in the
     one-shard case.
     """
-    parts = shards(benchmark, limit)
     spark = docs.sparkSession
     source = id_and_bytes(docs)
-    if len(parts) == 1:
-        return source.mapInArrow(_scanner(spark, parts[0], size), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    parts = shards(benchmark, limit)
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return source.mapInArrow(_scanner(spark, first, size), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
     source = id_and_bytes(docs, F.xxhash64("doc_id", "text").alias("row"))
     kind = "doc_id long, row long, n_words long, runs array<long>, offsets array<long>, items array<string>"
-    each = [source.mapInArrow(_hits(spark, p, size), kind) for p in parts]
+    each = [source.mapInArrow(_hits(spark, p, size), kind) for p in itertools.chain((first, second), parts)]
     # Equal rows (same id and text) are counted so that they come back as often as they came in.
     rows = reduce(DataFrame.unionByName, each).groupBy("doc_id", "row", "n_words").agg(
         F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("offsets")).alias("offsets"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("times"))
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(each)).cast("int").alias("times"))
 
     def united(doc_id, n_words, runs, points, items):
         pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))

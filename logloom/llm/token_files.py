@@ -5,12 +5,13 @@ of every id and a bitmap that tells which ids go on; level 1 has the second chun
 (number of ones before every 512th bit) finds an id's place in the next level, so ``Segment.at(i)`` reads one token with one
 chunk, one bit and one rank for each level, without decoding its neighbours.
 
-Files: a Parquet table in the shared folder with one row for each segment (order, documents, payload). Spark commits it as a
-whole, any reader finds a segment by its order, and the place of a document by its segment's directory. Segments hold at most
-``SEGMENT_IDS`` ids, unless one document has more.
+Files: a Parquet table in the shared folder with one row for each segment (order, ids before it in its range, documents, payload). Spark
+commits it as a whole, any reader finds a segment by its order, and the place of a document by its segment's directory. Segments hold
+at most ``SEGMENT_IDS`` ids, unless one document has more. A segment's place in the whole is its place in its range after the ranges
+before, of which there are ``MOST_RANGES`` at most: that is all that the driver adds up.
 
-Defined cases: null is the empty text and still gets the end id; ids of repeated doc_ids follow in order of their text's bytes;
-a null doc_id comes first.
+Defined cases: null is the empty text and still gets the end id; ids of repeated doc_ids follow in order of the crc32 of their text, then
+of the ids' bytes; a doc_id that fills several ranges is dealt to them in that order; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ SEGMENT_IDS = 1 << 20
 KEPT_WORDS = 600_000
 #: Documents in one range of doc_ids, which one task puts in order.
 RANGE_DOCS = 2_000
+#: Ranges there are at most; beyond, a range has more documents.
+MOST_RANGES = 10_000
 END_ID = 2
 RANK = 512
-SEGMENTS = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+SEGMENTS = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -93,13 +96,21 @@ class Segment:
 
 
 def ranges(docs: DataFrame, each: int = RANGE_DOCS) -> list[int]:
-    """Bounds that cut the doc_ids into ranges of about ``each`` documents; reads the id column only."""
+    """Bounds that cut the doc_ids into ranges of about ``each`` documents; reads the id column only. A frequent id is several bounds."""
     n = docs.count()
-    parts = max(1, -(-n // each))
+    parts = min(MOST_RANGES, max(1, -(-n // each)))
     if parts == 1:
         return []
     found = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    return sorted({*(found or [])})
+    return sorted(found or [])
+
+
+def range_of(bounds: np.ndarray, doc_id: int | None, text: int) -> int:
+    """The range of a document, of which ``text`` is the crc32 of its text: an id that is several bounds has several ranges."""
+    if doc_id is None:
+        return 0
+    low, high = np.searchsorted(bounds, doc_id, "left"), np.searchsorted(bounds, doc_id, "right")
+    return int(low + (text * int(high - low + 1) >> 32))
 
 
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, each: int = RANGE_DOCS) -> DataFrame:
@@ -117,25 +128,25 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
         table = Words(path, packed_ids(code), bytes.__add__, limit=KEPT_WORDS)
         end = np.array([end_id], kind).tobytes()
         for doc_ids, texts in slices(batches, ("doc_id", "text")):
-            parts = np.searchsorted(bounds.value, [-(1 << 63) if d is None else d for d in doc_ids], side="right").tolist()
-            yield rows_to_batch([(p, d, zlib.crc32(t), b"".join(map(table.lookup(), t.split())) + end) for p, d, t in zip(parts, doc_ids, texts, strict=True)], encoded)
+            sums = [zlib.crc32(t) for t in texts]
+            yield rows_to_batch([(range_of(bounds.value, d, c), d, c, b"".join(map(table.lookup(), t.split())) + end) for d, c, t in zip(doc_ids, sums, texts, strict=True)], encoded)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = None, 0, [], 0
+        part, seq, before, held, size = None, 0, 0, [], 0
 
         def flush():
             lengths = [len(x) // int(kind[-1]) for _, x in held]
-            names = np.array([-(1 << 63) if d is None else d for d, _ in held], "<i8")
+            names, none = np.array([d or 0 for d, _ in held], "<i8"), np.array([d is None for d, _ in held])
             body = pack(np.frombuffer(b"".join(x for _, x in held), kind))
-            payload = names.tobytes() + np.array(lengths, "<i8").tobytes() + body
-            return rows_to_batch([(part, seq, len(held), sum(lengths), payload)], SEGMENTS)
+            payload = names.tobytes() + np.array(lengths, "<i8").tobytes() + none.tobytes() + body
+            return rows_to_batch([(part, seq, before, len(held), sum(lengths), payload)], SEGMENTS)
 
         for parts, doc_ids, binaries in slices(batches, ("part", "doc_id", "ids")):
             for p, d, x in zip(parts, doc_ids, binaries, strict=True):
                 n = len(x) // int(kind[-1])
                 if held and (p != part or size + n > SEGMENT_IDS):
                     yield flush()
-                    seq = seq + 1 if p == part else 0
+                    seq, before = (seq + 1, before + size) if p == part else (0, 0)
                     held, size = [], 0
                 part = p
                 held.append((d, x))
@@ -145,15 +156,15 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ea
 
     rows = id_and_bytes(docs).mapInArrow(ids, "part long, doc_id long, raw long, ids binary")
     rows = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "raw", "ids")
-    return written(rows.mapInArrow(segments, "part long, seq long, n_docs long, n_ids long, payload binary"), "ids", "none")
+    return written(rows.mapInArrow(segments, "part long, seq long, before long, n_docs long, n_ids long, payload binary"), "ids", "none")
 
 
-def starts(segments: DataFrame) -> dict[tuple[int, int], int]:
-    """Ids before each segment, from the directory (part, seq, n_ids): one short row for a million ids."""
+def starts(segments: DataFrame) -> dict[int, int]:
+    """Ids before each range, from the directory: one number for each of at most ``MOST_RANGES`` ranges."""
     at = 0
     out = {}
-    for part, seq, n in segments.select("part", "seq", "n_ids").orderBy("part", "seq").toLocalIterator():
-        out[part, seq] = at
+    for part, n in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toLocalIterator():
+        out[part] = at
         at += n
     return out
 
@@ -165,15 +176,16 @@ def read_ids(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, seq, n_docs, _, payload = (batch.column(c)[i].as_py() for c in range(5))
+                part, _, within, n_docs, _, payload = (batch.column(c)[i].as_py() for c in range(6))
                 names = np.frombuffer(payload, "<i8", n_docs)
                 lengths = np.frombuffer(payload, "<i8", n_docs, 8 * n_docs)
-                ids = Segment(payload[16 * n_docs :]).all()
+                none = np.frombuffer(payload, bool, n_docs, 16 * n_docs)
+                ids = Segment(payload[17 * n_docs :]).all()
                 ends = np.cumsum(lengths)
-                first = before.value[part, seq]
+                first = before.value[part] + within
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if d == -(1 << 63) else d for d in names.tolist()], pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], schema=READ
+                    [pa.array(names, pa.int64(), mask=none), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], schema=READ
                 )
 
     return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

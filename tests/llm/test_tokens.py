@@ -120,6 +120,20 @@ def test_token_files(spark, plain, each):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_a_repeated_id_fills_several_ranges_in_order(spark, plain):
+    texts = [f"word{i % 37} and more" for i in range(300)]
+    rows = [(7, t) for t in texts] + [(i, "some text") for i in range(5)] + [(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "most")]
+    bounds = np.array(token_files.ranges(spark.createDataFrame(rows, "doc_id long, text string"), 20))
+    assert len({token_files.range_of(bounds, 7, zlib.crc32(t.encode())) for t in texts}) > 5
+    got = sorted(token_files.read_ids(token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), each=20)).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    at = 0
+    for r, (doc, text) in zip(got, order, strict=True):
+        n = len(plain.encode(text, add_special_tokens=False).ids) + 1
+        assert (r.doc_id, r.start, r.n_tokens) == (doc, at, n)
+        at += n
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="abcXYZ'st.,!?;:*#$%&|<>0é \u0301\u0331\x1c\x85", max_size=30))
 def test_parted_words(text):
