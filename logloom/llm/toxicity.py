@@ -32,7 +32,7 @@ PREFIXES = (4, 5, 6)
 L2, SWAP, STEPS, RATE, CUT = 2e-4, 1.0, 400, 0.1, 0.3
 #: Words whose features a task remembers before it starts anew.
 KEPT_WORDS = 300_000
-#: Names of groups; each is swapped for the others of its line.
+#: Names of groups in English, German, French and Spanish; each is swapped for the others of its line.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -40,6 +40,12 @@ IDENTITY = (
     ("gay", "lesbian", "bisexual", "straight", "transgender"),
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("immigrant", "refugee", "foreigner", "native"), ("disabled", "blind", "deaf"), ("old", "young", "elderly"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"), ("frauen", "männer"), ("frau", "mann"), ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"), ("femmes", "hommes"), ("femme", "homme"), ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("gais", "lesbianas", "bisexuales", "heterosexuales"), ("mujeres", "hombres"), ("mujer", "hombre"), ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 ROW = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
