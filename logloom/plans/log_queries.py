@@ -12,6 +12,7 @@ from logloom.functions.lines import FORMATS, event_time, header_split, parsed
 from logloom.operators import matching, reports, templates
 from logloom.plans.rendered import duck_lines, duck_templates, log_lines, rendered_lines, table
 from logloom.plans.rendered import templates as inline
+from logloom.session import shared_folder
 from logloom.sources import sinks
 from logloom.streaming import live
 
@@ -262,5 +263,5 @@ def stream_level_counts(spark, sf_dir):
     stream = parsed(rendered_lines(spark, events)).withColumn("event_time", event_time("timestamp"))
     name = f"levels_{uuid.uuid4().hex}"
     counts = live.level_counts(stream, "1 day")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "level", "lines")

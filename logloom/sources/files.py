@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from logloom.functions.text import like_any
 from logloom.schema import LEVELS, TEMPLATE
 
+#: Splits of log files whose directory is broadcast at most.
+BROADCAST_SPLITS = 200_000
 #: What a walk leaves out by default.
 EXCLUDED = (
     "*/target/*", "*/build/*", "*/bin/*", "*/out/*", "*/.git/*", "*/.svn/*", "*/.hg/*", "*/node_modules/*", "*/__pycache__/*",
@@ -112,4 +114,5 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     first = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = first.withColumn("before", F.coalesce(before, F.lit(0))).select("file", "block", "first", "before")
-    return lines.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_number"), "value")
+    few = first.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    return lines.join(F.broadcast(starts) if few else starts, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_number"), "value")
