@@ -6,8 +6,6 @@ splits on exactly ``\\x20\\x09-\\x0D`` and ``bytes.translate`` lower-cases A-Z w
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.session import ensure_importable
+from logloom.session import ensure_importable, shared_folder
 
 #: Words of the contracts, as a regular expression for the JVM.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,25 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset and the master is local (tests) a folder of our own."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.logloom.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.logloom.checkpoint.dir", where)
-    return where
-
-
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Cuts lineage: writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     The table survives the loss of any executor. Spark commits it only when every task has succeeded.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/logloom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/logloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
