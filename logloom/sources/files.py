@@ -107,12 +107,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     Numbers are exact without gathering a file in one task: each split's lines are counted first, and a line's number is its place in
     its split after the lines of the splits before it. Bytes that are no UTF-8 are dropped.
     """
-    lines = spark.read.text(path).select(
+    raw = spark.read.text(path)
+    lines = raw.select(
         F.regexp_replace("value", "�", "").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     # Ids grow by one within a split and jump between splits, so a split's lines are numbered by difference.
     first = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = first.withColumn("before", F.coalesce(before, F.lit(0))).select("file", "block", "first", "before")
-    few = first.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    few = len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_SPLITS  # no job: a split more for each boundary
     return lines.join(F.broadcast(starts) if few else starts, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_number"), "value")
