@@ -81,6 +81,40 @@ def location_text(location: Column | str) -> Column:
     return F.concat_ws(":", at["file_path"], part("class:", "class_name"), part("method:", "method_name"), F.concat(F.lit("line:"), at["line_number"].cast("string")))
 
 
+def three_decimals(value: Column | str) -> Column:
+    """A number from 0 to 1 as ``%.3f`` prints it: its exact binary value, rounded to the nearest and ties to even.
+
+    ``format_string`` rounds the shortest decimal form instead (1/16 gives 0.063, and 0.5375 gives 0.538 where 0.537 is nearer). Here all
+    steps are exact: the number's bits are cut into two whole numbers, of units of 2^-40 and 2^-90.
+    """
+    unit, part = 1 << 40, 1 << 50
+
+    def cut(v: Column) -> Column:
+        high = F.floor(v * float(unit))
+        return F.struct(high.alias("high"), (F.floor((v * float(unit) - high) * float(part)) * 1000).alias("low"))
+
+    def carried(x: Column) -> Column:
+        return F.struct((x["high"] * 1000 + F.shiftright(x["low"], 50)).alias("high"), x["low"].bitwiseAND(F.lit(part - 1)).alias("low"))
+
+    def rounded(x: Column) -> Column:
+        whole, rest = F.shiftright(x["high"], 40), x["high"].bitwiseAND(F.lit(unit - 1))
+        return whole + F.when((rest > unit // 2) | ((rest == unit // 2) & ((x["low"] > 0) | (whole % 2 == 1))), 1).otherwise(0)
+
+    def printed(n: Column) -> Column:
+        return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+    # Each step sees the one before as a bound variable, so that no expression is repeated.
+    steps = F.array(col(value).cast("double"))
+    for step in (cut, carried, rounded, printed):
+        steps = F.transform(steps, step)
+    return F.get(steps, F.lit(0))
+
+
+def match_text(template: Column | str, score: Column | str, location: Column | str) -> Column:
+    """A match on one line: Match(template_id=.., confidence=.., location=..)."""
+    return F.concat(F.lit("Match(template_id="), col(template), F.lit(", confidence="), three_decimals(score), F.lit(", location="), location_text(location), F.lit(")"))
+
+
 def shortened(text: Column | str, most: int, mark: str = "...") -> Column:
     c = col(text)
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)

@@ -120,6 +120,12 @@ def register_rule(name: str, rule: Rule, direct: bool = True) -> None:
         DIRECT.append(name)
 
 
+def unregister_rule(name: str) -> None:
+    del RULES[name]
+    if name in DIRECT:
+        DIRECT.remove(name)
+
+
 def direct_templates(calls: DataFrame, options: Options = Options()) -> DataFrame:
     """Templates of all direct rules; ``level`` is the method's name where it is a level."""
     keep = ["path", "start", "line", "class_name", "method_name", "method"]
@@ -174,28 +180,35 @@ def reaching(uses: DataFrame, defs: DataFrame, options: Options) -> DataFrame:
     return kept.select(*key, "def_line", "uses", "def_path").distinct()
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once: in the shared folder where the session names one (lineage ends there), cached otherwise."""
+    if rows.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return rows.checkpoint()
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def sliced_templates(found: DataFrame, calls: DataFrame, direct: DataFrame, options: Options = Options()) -> DataFrame:
     """Templates of calls without a direct one: patterns of the definitions that their message's variables may have."""
     rest = calls.join(direct.select("path", "start").distinct(), ["path", "start"], "left_anti")
     branched = rest.withColumn("branch", F.col("r_path"))
     wanted = message_uses(branched)
-    defs = definitions(relation_with_branch(found, "stmts")).persist(StorageLevel.MEMORY_AND_DISK)
+    defs = kept(definitions(relation_with_branch(found, "stmts")))
     # Closure of (variable, line) pairs from each message's variable: a loop over its (short) depth.
     key = ["path", "scope_id", "start", "target", "var", "line"]
     frontier = wanted.select("path", "scope_id", "start", F.col("var").alias("target"), "var", "line", "branch").distinct()
-    seen = frontier.select(*key).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = kept(frontier.select(*key))
     slices = None
     while True:
-        step = reaching(frontier, defs, options).persist(StorageLevel.MEMORY_AND_DISK)
+        step = kept(reaching(frontier, defs, options))
         part = step.select("path", "scope_id", "start", "target", "def_line")
         slices = part if slices is None else slices.unionByName(part)
         after = step.select("path", "scope_id", "start", "target", F.explode("uses").alias("var"), F.col("def_line").alias("line"), F.col("def_path").alias("branch")).distinct()
         # Only variables that are defined in the scope can go further.
         after = after.join(defs.select("path", "scope_id", "var").distinct(), ["path", "scope_id", "var"], "left_semi")
-        after = after.join(seen, key, "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        after = kept(after.join(seen, key, "left_anti"))
         if after.isEmpty():
             break
-        seen = seen.unionByName(after.select(*key)).persist(StorageLevel.MEMORY_AND_DISK)
+        seen = kept(seen.unionByName(after.select(*key)))
         frontier = after
     hit = slices.distinct().join(defs.where("pattern is not null").select("path", "scope_id", "def_line", F.col("var").alias("target"), "pattern"), ["path", "scope_id", "def_line", "target"])
     order = Window.partitionBy("path", "scope_id", "start", "target").orderBy("def_line")

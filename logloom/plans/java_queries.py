@@ -157,6 +157,60 @@ def builder_rule(spark, sf_dir):
     return X.builder_rule(X.all_calls(X.java_facts(more_files(spark, sf_dir)))).select("path", "pattern")
 
 
+# Shapes of calls that the message rule passes over, special method names, blank messages, methods outside classes ------------------------
+ODD_BODIES = (
+    "'        log.info(addPrefix(\"kept ' || p_brand || '\"));' || chr(10) || '        log.warn(ex.getMessage());' || chr(10) || '        log.info(format(name));' || chr(10)",
+    "'        StringBuilder sb = new StringBuilder();' || chr(10) || '        String m = sb.toString();' || chr(10) || '        log.warn(m);' || chr(10)",
+    "'        log4j.fatal(wrap(name, join(size)));' || chr(10)",
+    "'        log.fatal(join(name, size, name));' || chr(10)",
+    "'        log.info(\"\");' || chr(10) || '        log.info(\"kept ' || p_brand || '\");' || chr(10)",
+    "'    }' || chr(10) || '}' || chr(10) || 'interface Duty {' || chr(10) || '    default void go(int n) {' || chr(10) || '        log.info(\"free {} ' || p_brand || '\", n);' || chr(10)",
+)
+ODD_SOURCE = HEAD + "CASE CAST(p_partkey % 6 AS INTEGER) " + " ".join(f"WHEN {k} THEN {b}" for k, b in enumerate(ODD_BODIES)) + " END || '    }' || chr(10) || '}' || chr(10)"
+#: shape, pattern, line, level, method, whether in a class.
+ODD_EXPECTED = (
+    (0, "'<method:addPrefix(kept ' || p_brand || ')>'", 4, "info", "work", True),
+    (0, "'<method:getMessage(<*>)>'", 5, "warn", "work", True),
+    (0, "'<method:format(<*>)>'", 6, "info", "work", True),
+    (1, "'<*>'", 6, "unknown", "work", True),
+    (2, "'<param:name>'", 4, "unknown", "work", True),
+    (2, "'<param:size>'", 4, "unknown", "work", True),
+    (3, "'<param:name>'", 4, "unknown", "work", True),
+    (3, "'<param:size>'", 4, "unknown", "work", True),
+    (4, "'kept ' || p_brand", 5, "info", "work", True),
+    (5, "'free <*> ' || p_brand", 8, "info", "go", False),
+)
+
+
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr(PATH).alias("path"), F.expr(ODD_SOURCE.replace("chr(10)", "char(10)")).alias("content"))
+
+
+def odd_expected(rows=ODD_EXPECTED) -> str:
+    own = "'P' || CAST(p_partkey AS STRING)"
+    return " UNION ALL ".join(f"SELECT {PATH} AS file_path, {own if c else 'CAST(NULL AS VARCHAR)'} AS class_name, '{m}' AS method_name, {p} AS pattern, {n} AS line_number, '{level}' AS level FROM part WHERE p_partkey % 6 = {k}" for k, p, n, level, m, c in rows)
+
+
+@query("extract_odd_shapes", odd_expected())
+def extract_odd_shapes(spark, sf_dir):
+    return flat(X.extract_templates(odd_files(spark, sf_dir))).select("file_path", "class_name", "method_name", "pattern", "line_number", "level")
+
+
+#: With a rule for fatal calls, these are no longer left to slicing.
+FATAL = tuple(x for x in ODD_EXPECTED if x[0] not in (2, 3)) + ((2, "'fatal by log4j'", 4, "fatal", "work", True), (3, "'fatal by log'", 4, "fatal", "work", True))
+
+
+@query("registered_rule", odd_expected(FATAL))
+def registered_rule(spark, sf_dir):
+    """A user's rule beside the built-in ones: fatal calls give their logger's name."""
+    fatal = lambda calls, options: calls.where("method = 'fatal'").withColumn("pattern", F.concat(F.lit("fatal by "), F.col("receiver")))
+    X.register_rule("fatal", fatal)
+    try:
+        return extract_odd_shapes(spark, sf_dir)
+    finally:
+        X.unregister_rule("fatal")
+
+
 @query("extraction_errors", f"SELECT {PATH} AS path, 'UnicodeDecodeError' AS error FROM part WHERE p_partkey % 7 = 0")
 def extraction_errors(spark, sf_dir):
     """Every seventh file is no UTF-8: an error row for it, none for the others, whose templates are not harmed."""

@@ -14,6 +14,7 @@ from logloom.plans.rendered import duck_lines, duck_templates, log_lines, render
 from logloom.plans.rendered import templates as inline
 from logloom.session import shared_folder
 from logloom.sources import sinks
+from logloom.sources.files import EXCLUDED, read_log, walked
 from logloom.streaming import live
 
 
@@ -209,6 +210,91 @@ def json_rows(spark, sf_dir):
     return sinks.json_rows(wanted(spark, sf_dir), found)
 
 
+@query("match_text", duck_best() + "SELECT line_number, 'Match(template_id=' || template_id || ', confidence=' || format('{:.3f}', confidence) || ', location=' || file_path || ':class:' || class_name || ':method:' || method_name || ':line:' || src_line || ')' AS said FROM best JOIN (SELECT template_id, class_name, method_name FROM " + duck_templates() + " d) d USING (template_id)")
+def match_text(spark, sf_dir):
+    return best(spark, sf_dir).where("template_id is not null").select("line_number", text.match_text("template_id", "confidence", "location").alias("said"))
+
+
+@query("best_match_no_templates", f"WITH {PARSED}, {TOKENS} SELECT line_number, CAST(NULL AS VARCHAR) AS template_id, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS extracted FROM toks")
+def best_match_no_templates(spark, sf_dir):
+    """Without any template every line stays, unmatched."""
+    return flat(matching.best_matches(wanted(spark, sf_dir), inline(spark, ())))
+
+
+# Several files: lines are told by file and number ----------------------------------------------------------------------------------
+PER_FILE = 2000
+DUCK_FILE = f"CAST(floor((line_number - 1) / {PER_FILE}) AS BIGINT)"
+DUCK_NUMBER = f"CAST((line_number - 1) % {PER_FILE} + 1 AS BIGINT)"
+
+
+def in_files(lines: DataFrame) -> DataFrame:
+    """The lines as those of files of 2,000 lines each, numbered from 1 within each."""
+    at = F.col("line_number") - 1
+    return lines.withColumn("file", F.floor(at / PER_FILE).cast("string")).withColumn("line_number", at % PER_FILE + 1)
+
+
+def best_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.best_matches(in_files(wanted(spark, sf_dir)), inline(spark))
+
+
+@query("files_summary", SQL["match_summary"])
+def files_summary(spark, sf_dir):
+    return reports.summary(best_in_files(spark, sf_dir))
+
+
+@query("files_levels", SQL["level_distribution"])
+def files_levels(spark, sf_dir):
+    return reports.level_distribution(best_in_files(spark, sf_dir))
+
+
+@query("files_unmatched", duck_best() + f"SELECT CAST({DUCK_FILE} AS VARCHAR) AS file, {DUCK_NUMBER} AS line_number, message FROM best WHERE template_id IS NULL")
+def files_unmatched(spark, sf_dir):
+    return matching.unmatched(in_files(wanted(spark, sf_dir)), best_in_files(spark, sf_dir)).select("file", "line_number", "message")
+
+
+IN_FILES = f"SELECT CAST({DUCK_FILE} AS VARCHAR) AS file, {DUCK_NUMBER} AS line_number, ".replace("line_number -", "s.line_number -")
+
+
+@query("files_all_matches", ALL + DERIVED[len(ALL) :].replace("SELECT s.line_number, ", IN_FILES))
+def files_all_matches(spark, sf_dir):
+    found = matching.all_matches(in_files(wanted(spark, sf_dir)), inline(spark))
+    return found.select("file", "line_number", "template_id", F.array_join("values", " | ").alias("extracted"), "confidence", "rank")
+
+
+@query("numbered_lines", f"SELECT {DUCK_FILE} AS shard, {DUCK_NUMBER} AS line_number, value FROM ({duck_lines()}) l")
+def numbered_lines(spark, sf_dir):
+    """Log texts written to files and read back: every physical line with its number, blank ones counted."""
+    where = f"{shared_folder(spark)}/lines_{uuid.uuid4().hex}"
+    made = in_files(log_lines(spark, sf_dir)).withColumn("shard", F.col("file").cast("long"))
+    made.repartition("shard").sortWithinPartitions("shard", "line_number").select("value", "shard").write.partitionBy("shard").text(where)
+    return read_log(spark, where).select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("long").alias("shard"), "line_number", "value")
+
+
+SAID = """, heads AS (SELECT count(*) AS t, count(template_id) AS m, count(DISTINCT template_id) AS u FROM best),
+levels AS (SELECT upper(level) AS l, count(*) AS n FROM best WHERE level IS NOT NULL GROUP BY 1),
+tops AS (SELECT template_id, count(*) AS n, min(line_number) AS f FROM best WHERE template_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10),
+samples AS (SELECT line_number, substr(message, 1, 200) AS s FROM best WHERE template_id IS NULL ORDER BY 1 LIMIT 20),
+said AS (SELECT 1 AS a, 1 AS b, 'Log matching summary' AS said UNION ALL SELECT 1, 2, repeat('=', 40)
+ UNION ALL SELECT 2, 1, 'Total lines: ' || t FROM heads UNION ALL SELECT 2, 2, 'Matched lines: ' || m FROM heads UNION ALL SELECT 2, 3, 'Unmatched lines: ' || (t - m) FROM heads
+ UNION ALL SELECT 2, 4, 'Match rate: ' || format('{:.1f}', CAST(m AS DOUBLE) / t * 100) || '%' FROM heads UNION ALL SELECT 2, 5, 'Unique templates used: ' || u FROM heads
+ UNION ALL SELECT 3, 1, '' UNION ALL SELECT 3, 2, 'Levels' UNION ALL SELECT 4, row_number() OVER (ORDER BY l), '  ' || l || ': ' || n || ' (' || format('{:.1f}', CAST(n AS DOUBLE) / (SELECT sum(n) FROM levels) * 100) || '%)' FROM levels
+ UNION ALL SELECT 5, 1, '' UNION ALL SELECT 5, 2, 'Top templates' UNION ALL SELECT 6, row_number() OVER (ORDER BY n DESC, f), '  ' || template_id || ': ' || n FROM tops
+ UNION ALL SELECT 7, 1, '' UNION ALL SELECT 7, 2, 'Unmatched samples' UNION ALL SELECT 8, line_number, '  ' || s FROM samples)
+SELECT CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS position, said FROM said"""
+
+
+@query("summary_report", duck_best().rstrip() + SAID)
+def summary_report(spark, sf_dir):
+    """The text summary, line by line."""
+    said = sinks.summary_text(best(spark, sf_dir)).rstrip("\n").split("\n")
+    return spark.createDataFrame([*enumerate(said, 1)], "position int, said string")
+
+
+@query("template_json", f"SELECT CAST(to_json({{'template_id': template_id, 'pattern': pattern, 'static_token_count': static, 'location': {{'file_path': file_path, 'class_name': class_name, 'method_name': method_name, 'line_number': src_line}}, 'level': t_level, 'branch_variant': branch_variant}}) AS VARCHAR) AS value FROM {duck_templates()}")
+def template_json(spark, sf_dir):
+    return sinks.template_json(inline(spark))
+
+
 @query("template_totals", f"SELECT count(*) AS templates, count(DISTINCT (file_path, src_line)) AS locations, count(DISTINCT file_path) AS files, count(DISTINCT pattern) AS patterns FROM {duck_templates()}")
 def template_totals(spark, sf_dir):
     return reports.template_totals(inline(spark))
@@ -249,18 +335,36 @@ PATHS = "'/repo/' || CASE CAST(p_partkey % 6 AS INTEGER) WHEN 0 THEN 'src/' WHEN
 
 @query("walk_files", f"SELECT path FROM (SELECT {PATHS} AS path FROM part) f WHERE path LIKE '%.java' AND NOT regexp_matches(path, '/(target|build|bin|out|test|vendor)/')")
 def walk_files(spark, sf_dir):
-    from logloom.sources.files import EXCLUDED, walked
-
     files = table(spark, sf_dir, "part").select(F.expr(PATHS).alias("path"))
     return walked(files, "/repo", ("*.java",), ("*/vendor/*", *EXCLUDED)).select("path")
 
 
+@query("count_files", f"SELECT count(*) AS files FROM ({SQL['walk_files']}) w")
+def count_files(spark, sf_dir):
+    return walk_files(spark, sf_dir).agg(F.count("*").alias("files"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of parsed log lines."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return parsed(rendered_lines(spark, events))
+
+
+@query("stream_best_match", SQL["best_match"])
+def stream_best_match(spark, sf_dir):
+    """Best matches of a stream: each micro-batch's are one folder, which a repeated batch replaces."""
+    where = f"{shared_folder(spark)}/matches_{uuid.uuid4().hex}"
+    stream = matching.non_blank(streamed(spark, sf_dir))
+    keep = lambda found, number: flat(found).write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+    live.match_stream(stream, inline(spark), keep, f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/rows").drop("batch")
+
+
 @query("stream_level_counts", f"WITH {PARSED} SELECT substr(\"timestamp\", 1, 10) AS day, lower(level) AS level, count(*) AS lines FROM parsed WHERE \"timestamp\" IS NOT NULL AND level IS NOT NULL GROUP BY 1, 2")
 def stream_level_counts(spark, sf_dir):
     """The events as a stream of log lines: counts by day and level, from a watermarked window."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = parsed(rendered_lines(spark, events)).withColumn("event_time", event_time("timestamp"))
+    stream = streamed(spark, sf_dir).withColumn("event_time", event_time("timestamp"))
     name = f"levels_{uuid.uuid4().hex}"
     counts = live.level_counts(stream, "1 day")
     counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import time
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from logloom.functions.text import three_decimals
 from logloom.operators import reports
 from logloom.schema import TEMPLATE, line_key
 
@@ -25,16 +24,6 @@ def write_templates(templates: DataFrame, path: str, one_file: bool = False) ->
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
 
 
-def three_decimals(value: Column) -> Column:
-    """``%.3f`` with ties to even of the exact binary value, as C and Python print it."""
-
-    @pandas_udf("string")
-    def text(x: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else f"{v:.3f}" for v in x], dtype=object)
-
-    return text(value)
-
-
 def csv_rows(matches: DataFrame) -> DataFrame:
     """The CSV form's columns as text; what is missing is empty. Lines of several files have their ``file`` in front."""
     hit = F.col("template_id").isNotNull()
@@ -42,7 +31,7 @@ def csv_rows(matches: DataFrame) -> DataFrame:
     when = lambda c: F.when(hit, c).otherwise("")
     return matches.select(
         *line_key(matches), text("timestamp").alias("timestamp"), text("level").alias("level"), text("logger").alias("logger"), text("message").alias("message"),
-        text("template_id").alias("template_id"), F.coalesce(three_decimals(F.col("confidence")), F.lit("")).alias("confidence"), when(text("pattern")).alias("pattern"),
+        text("template_id").alias("template_id"), F.coalesce(three_decimals("confidence"), F.lit("")).alias("confidence"), when(text("pattern")).alias("pattern"),
         when(F.coalesce(F.array_join("values", " | "), F.lit(""))).alias("extracted_values"), when(text("location.file_path")).alias("source_file"), when(text("location.line_number")).alias("source_line"),
     )
 

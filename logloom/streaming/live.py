@@ -1,7 +1,7 @@
 """Matching of a stream of log lines. Parsing and best matching keep no state; counts are windowed with a watermark.
 
-A line's own number does not exist in a stream, so ``line_number`` is only unique within a micro-batch; best matching runs per micro-batch on
-it, with the same operator as a batch.
+Text files in a stream give their lines no numbers, so ``line_number`` is only unique within a micro-batch unless the stream brings its own; best
+matching runs per micro-batch on it, with the same operator as a batch.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def match_stream(stream: DataFrame, templates: DataFrame, sink: Callable[[DataFr
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        numbered = batch.withColumn("line_number", F.monotonically_increasing_id())
+        numbered = batch if "line_number" in batch.columns else batch.withColumn("line_number", F.monotonically_increasing_id())
         sink(best_matches(numbered, templates, threshold, options=options), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -109,8 +109,7 @@ def test_registered_rule(spark, files):
     try:
         assert any(p == "fatal" for _, p, _, _ in patterns(X.extract_templates(files), "a/Harbor.java"))
     finally:
-        del X.RULES["system"]
-        X.DIRECT.remove("system")
+        X.unregister_rule("system")
 
 
 def test_cache_parses_new_contents_only(spark, files, tmp_path):
@@ -122,3 +121,9 @@ def test_cache_parses_new_contents_only(spark, files, tmp_path):
     again = X.cached_facts(files.unionByName(files.where("path = 'a/Chain.java'").withColumn("path", X.F.lit("b/Copy.java"))), cache)
     assert again.count() == files.count() + 1 and spark.read.parquet(cache).count() == files.count()
     assert [p for _, p, _, _ in patterns(X.templates_of(again), "b/Copy.java")] == [p for _, p, _, _ in patterns(first, "a/Chain.java")]
+
+
+def test_slicing_with_a_shared_folder_gives_the_same(spark, files, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    monkeypatch.setattr(X, "kept", lambda rows: rows.checkpoint())
+    assert patterns(X.extract_templates(files), "a/Chain.java") == [(7, "first", "unknown", 0), (7, "<*> third", "unknown", 1), (14, "Small  <*>", "unknown", 0)]

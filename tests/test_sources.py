@@ -1,4 +1,7 @@
 import json
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +9,8 @@ from pyspark.sql import functions as F
 from logloom import cli
 from logloom.functions import text
 from logloom.functions.lines import header_split, parsed
+from logloom.operators.extract import extract_repository
+from logloom.operators.matching import best_matches
 from logloom.plans.rendered import templates as inline
 from logloom.sources import files, sinks
 from logloom.streaming import live
@@ -38,6 +43,14 @@ def test_text_functions(spark):
     assert [r.t for r in q] == ['a\\"b', "x", "plain"]
 
 
+def test_three_decimals_are_those_of_print(spark):
+    rng = random.Random(3)
+    middles = [(2 * k + 1) / 2000 for k in range(1000)]
+    values = [None, 0.0, 1.0, *(k / 16 for k in range(17)), *middles, *(math.nextafter(m, 0) for m in middles), *(math.nextafter(m, 1) for m in middles), *(rng.random() for _ in range(5000))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.three_decimals("v").alias("t")).collect()
+    assert [r.t for r in rows] == [None if v is None else f"{v:.3f}" for v in values]
+
+
 @pytest.mark.parametrize("glob,path,hit", [("*.java", "a/b.java", True), ("*/test/*", "x/test/Y.java", True), ("*/test/*", "x/test", False), ("a?c", "abc", True), ("[!a]b", "cb", True), ("[!a]b", "ab", False), ("a.b", "axb", False)])
 def test_globs(spark, glob, path, hit):
     assert spark.createDataFrame([(path,)], "p string").select(text.like_any("p", [glob]).alias("h")).first().h is hit
@@ -61,6 +74,25 @@ def test_template_tables(spark, tmp_path):
     rows = files.read_templates(spark, str(tmp_path / "bad.jsonl")).collect()
     assert [(r.pattern, r.branch_variant) for r in rows] == [("é <*>", 0)] and files.bad_templates(spark, str(tmp_path / "bad.jsonl")).count() == 3
     assert files.read_templates(spark, str(tmp_path / "none.jsonl")).count() == 0
+    assert sorted(r.template_id for r in files.each_template(spark, path)) == sorted(r.template_id for r in inline(spark).collect())
+
+
+def test_default_output():
+    assert re.fullmatch(r"output_templates/depot_\d{8}_\d{6}\.jsonl", sinks.default_output("/src/depot/", 0.0))
+
+
+def test_templates_of_a_source_tree(spark, tmp_path):
+    for p in ("src/A.java", "src/test/B.java"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text('class A { void f() { log.info("seen {}", 1); } }')
+    assert [(r.pattern, r.location.method_name) for r in extract_repository(spark, str(tmp_path)).collect()] == [("seen <*>", "f")]
+    assert extract_repository(spark, str(tmp_path), include=["*.kt"]).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [-0.1, 1.1])
+def test_threshold_is_a_share(spark, threshold):
+    with pytest.raises(ValueError):
+        best_matches(spark.createDataFrame([(1, "x")], "line_number long, message string"), inline(spark), threshold)
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
