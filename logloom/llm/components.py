@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, as joins and aggregates.
 
-Every round writes its edges to the shared folder, so a lost executor costs one round at most. Minima are aggregated before they
-are joined back, so a hub's edges are counted map-side and its join can be split; no node's edges are gathered in one place.
+Every round writes its edges to the shared folder, so a lost executor costs one round at most. Minima are aggregated map-side, and a
+hub's minimum is broadcast to its edges (``looked_up``); no node's edges are gathered in one place.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import written
+from logloom.llm.common import looked_up, written
 from logloom.session import ensure_importable
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -37,15 +37,21 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=EDGES)
 
 
+def least_of(edges: DataFrame) -> DataFrame:
+    """Each node ``a`` with its smallest ``b`` (m) and its number of edges (n)."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
+
 def large_star(edges: DataFrame) -> DataFrame:
+    """``edges`` is a written table; so are those of ``small_star``."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = written(least_of(both).withColumn("m", F.least("a", "m")), "least")
+    return looked_up(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    others = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = written(least_of(edges), "least")
+    others = looked_up(edges, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -60,4 +66,4 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = tuple(now)
-        edges = written(small_star(large_star(edges)), "edges")
+        edges = written(small_star(written(large_star(edges), "large")), "edges")
