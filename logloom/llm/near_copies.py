@@ -6,21 +6,23 @@
    0.8). Such families count as near copies. 64 bits are too few to find all pairs of similarity 0.8, which lie up to 20 bits apart
    where every probe would meet unrelated texts; the rest is therefore found exactly.
 3. Prefix filter: in any order of all shingles, two sets of similarity 0.8 share one of the first n // 5 + 1 of either. The order is
-   by hash, but shingles common in an eighth of the nodes come last; which do decides about the work only, never about the result.
+   by hash, but shingles that many nodes have come last; which do decides about the work only, never about the result. All shingles of
+   all nodes are counted for it.
 4. Every node is compared with that smallest or largest node of its buckets with which it shares most of them, then with the smallest
    and largest ones that are still in other families: linear, and melts families of near copies together without pairs.
 5. Nodes of a bucket that lie in different families become a pair only if size, position and sketch (256 parities, whose differences
    are a lower bound of the sets' differences) still allow 0.8; all other pairs end within the join.
 6. Every pair is verified, by wider sketches and then on the whole sets; components by star contraction. No pair of similarity 0.8 is missed.
 
-Sets are as large as the texts, so they are made from the texts again where they are needed (all texts for the prefixes, candidates'
-texts to verify) rather than kept.
+Sets are as large as the texts, so they are made from the texts again where they are needed (a text of each node to count shingles,
+all texts for the prefixes, candidates' texts to verify) rather than kept.
 
 Defined cases: null, empty and white-space texts are equal; repeated rows are one.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm import blocks as B
 from logloom.llm import simhash
 from logloom.llm.common import BROADCAST_ROWS, LOWER, ROW, hot_threshold, id_and_bytes, keyed, looked_up, per_row, row_columns, same_row, slices, written
 from logloom.llm.components import components
 
-SIZE, COMMON, COMMON_SHINGLES, COUNTED = 5, 4, 100_000, 8
+#: Words of a shingle; nodes that have a common shingle at least, and so many common shingles at most.
+SIZE, COMMON, COMMON_SHINGLES = 5, 32, 100_000
+#: Shingles that a task holds before it sends them to be counted.
+COUNTED = 1_000_000
 #: Columns of a set's sketch: 64 parities each.
 SKETCH = [f"s{k}" for k in range(4)]
 #: Nodes that a task remembers as met, and rows in a batch of postings.
@@ -43,6 +49,8 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 NODES = pa.schema([("row_id", pa.int64()), ("row_hash", pa.int64()), ("row_check", pa.int32()), ("node", pa.int64()), ("print", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in SKETCH)])
 WIDE = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("own", pa.list_(pa.int64())), ("half", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+DEALT = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+COUNTS = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
 POSTINGS = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
@@ -135,6 +143,43 @@ def close_prints(nodes: DataFrame) -> DataFrame:
     return looked_up(nodes, written(named, "print-names"), "print").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
+def shingle_counts(texts: DataFrame, least: int) -> DataFrame:
+    """(shingle, n) of all shingles that at least ``least`` of the nodes have; ``texts`` has one text of each node.
+
+    A part counts the shingles of its range. They are sent sorted, as differences, which pack well; a part's memory is its share of them.
+    """
+    parts, most = B.parts_for(texts), COUNTED
+    bounds = np.array([(k << 64) // parts - (1 << 63) for k in range(1, parts)], np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for _, found in each_set(batches):
+            held.append(found)
+            rows += len(found)
+            if rows >= most:
+                yield dealt(held, bounds)
+                held, rows = [], 0
+        if held:
+            yield dealt(held, bounds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, some in itertools.groupby(rows, lambda row: row[0]):
+            found, n = np.unique(np.concatenate([np.cumsum(B.unpack(payload)[0]) for _, payload in some]), return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(c[often], f.type) for c, f in zip((found, n), COUNTS, strict=True)], schema=COUNTS)
+
+    sent = id_and_bytes(texts).select("text").mapInArrow(deal, "part int, payload binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "shingle long, n long")
+
+
+def dealt(held: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+    """The shingles of some sets for each part that has any. Differences and their sums wrap around alike."""
+    found = np.sort(np.concatenate(held))
+    ranges = [(p, B.pack(np.diff(x, prepend=np.int64(0)))) for p, x in enumerate(np.split(found, np.searchsorted(found, bounds))) if len(x)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in ranges], f.type) for k, f in enumerate(DEALT)], schema=DEALT)
+
+
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """(shingle, node, size of the set, position) of each node's prefix; ``common`` shingles (sorted) stand last."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -213,11 +258,9 @@ def apart(pairs: DataFrame, family: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b")
 
 
-def families(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that have a near copy."""
-    some = id_and_bytes(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).where(F.pmod("h", F.lit(COUNTED)) == 0).select("text")
-    counts = sets(some).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    counts = written(counts.where(F.col("n") > 1), "shared-shingles")
+def families(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have a near copy; ``rows`` as for ``picked``."""
+    counts = written(shingle_counts(picked(docs, rows, nodes.select("first.*").drop("none")), COMMON), "shared-shingles")
     least = max(COMMON, hot_threshold(counts, COMMON_SHINGLES))
     common = np.sort(np.array([r.shingle for r in counts.where(F.col("n") >= least).select("shingle").collect()], np.int64))
     postings = prefixes(docs, common)
@@ -244,16 +287,11 @@ def families(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return contracted(family, verified(pairs, docs, nodes).select(F.col("root").alias("a"), F.col("other_root").alias("b")))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: the smallest doc_id (a null only where there is no other), then the smallest hash of the text.
+def picked(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in ``kept`` (``ROW``), each once; ``rows`` (a written table) has how often each occurs.
 
     Texts stay where they are while the rows to drop are few enough to be broadcast; else they are shuffled once.
     """
-    table = written(nodes_of(docs), "rows")
-    first = F.min(F.struct(F.col("row_id").isNull().alias("none"), *ROW)).alias("first")
-    nodes = written(table.groupBy("node", "print", "n", *SKETCH).agg(first), "nodes")
-    kept = written(nodes.join(families(docs, nodes), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*").drop("none").distinct(), "kept")
-    rows = written(table.groupBy(*ROW).agg(F.count("*").alias("times")), "times")
     chosen = rows.join(kept, same_row(rows, kept), "left_semi")
     once, again = written(chosen.where("times = 1").drop("times"), "kept-once"), written(chosen.where("times > 1").drop("times"), "kept-again")
     gone = written(rows.join(once, same_row(rows, once), "left_anti").drop("times"), "gone")
@@ -268,3 +306,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     # Rows that repeat word for word, of which one stays.
     same = whole.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, same_row(whole, again), "left_semi").dropDuplicates(ROW)
     return out.unionByName(same.select("whole.*"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the smallest doc_id (a null only where there is no other), then the smallest hash of the text."""
+    table = written(nodes_of(docs), "rows")
+    first = F.min(F.struct(F.col("row_id").isNull().alias("none"), *ROW)).alias("first")
+    nodes = written(table.groupBy("node", "print", "n", *SKETCH).agg(first), "nodes")
+    rows = written(table.groupBy(*ROW).agg(F.count("*").alias("times")), "times")
+    kept = written(nodes.join(families(docs, nodes, rows), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*").drop("none").distinct(), "kept")
+    return picked(docs, rows, kept)

@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import pytest
 
 import corpus_pipeline
 from logloom.llm import near_copies as N
@@ -64,6 +67,28 @@ def test_common_shingles_decide_about_work_only(spark, monkeypatch):
     assert kept(cases.frame(spark, texts())) == slow_kept(cases.rows(texts()))
 
 
+@pytest.mark.parametrize(("least", "most", "held"), [(6, 100_000, 1_000_000), (6, 40, 700), (6, 100_000, 1)])
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch, least, most, held):
+    """Those of ``least`` nodes, or of more where they are over ``most``; copies count once, whichever task has them."""
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(8)]
+    some = [" ".join([*passages[: i % 9], f"end{i}"]) for i in range(40)]
+    some += ["only copies have these words here", "Only copies  have these words here"] * 10 + [None, ""]
+    docs = cases.frame(spark, some).repartition(7)
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    count = Counter(int(h) for found in {tuple(N.shingles((t or "").encode()).tolist()) for t in [*some, "null id here"]} for h in found)
+    often = sorted(h for h, n in count.items() if n >= least)
+    while len(often) > most:
+        often = [h for h in often if count[h] > min(map(count.get, often))]
+    sent = []
+    prefixes = N.prefixes
+    monkeypatch.setattr(N, "prefixes", lambda docs, common: sent.append(common.tolist()) or prefixes(docs, common))
+    monkeypatch.setattr(N, "COMMON", least)
+    monkeypatch.setattr(N, "COMMON_SHINGLES", most)
+    monkeypatch.setattr(N, "COUNTED", held)
+    N.representatives(docs).count()
+    assert often and sent == [often]
+
+
 def test_rows_keep_all_columns_and_repeated_rows_are_one(spark):
     docs = cases.frame(spark, ["a b c d e f"] * 3 + ["other words stand here now"]).unionByName(cases.frame(spark, ["a b c d e f"]))
     got = N.representatives(docs)
